@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import exact
+from .exact import op8_exact_dedup
 from .simhash import op6_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op8_exact_dedup)}
+ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact.ORACLE}
