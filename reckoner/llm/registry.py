@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from . import exact
+from .bpe import op2_byte_level_bpe
 from .exact import op8_exact_dedup
+from .langid import op10_language_id
 from .simhash import op6_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op6_simhash_near_dedup, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_byte_level_bpe, op6_simhash_near_dedup, op8_exact_dedup, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact.ORACLE}
