@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact
+from . import exact, lines
 from .bpe import op2_byte_level_bpe
 from .exact import op8_exact_dedup
+from .html import op3_html_extraction
 from .langid import op10_language_id
+from .lines import op7_line_dedup
+from .mixing import op1_mixing
 from .simhash import op6_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op2_byte_level_bpe, op6_simhash_near_dedup, op8_exact_dedup, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {"op8_exact_dedup": exact.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_byte_level_bpe, op3_html_extraction, op6_simhash_near_dedup, op7_line_dedup, op8_exact_dedup, op10_language_id)}
+ORACLE_SQL: dict[str, str] = {"op7_line_dedup": lines.ORACLE, "op8_exact_dedup": exact.ORACLE}
