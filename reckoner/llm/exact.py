@@ -11,7 +11,7 @@ its budget of bytes, its largest subtrees are sent early and dropped: the owners
 merge what comes twice.
 
 Defined cases: null counts as empty; of equal texts the smallest id stays, also
-when an id repeats; other columns are ignored; no rows give no rows.
+when an id repeats; a null id comes after all others; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from .common import table
 
 BUDGET_BYTES = 48 << 20
 SENT_AT_ONCE = 8 << 20
+NO_ID = 2**63 - 1  # stands for a null id while the tries work
 #: Runs of [\x20\x09-\x0D] other than a lone space, which is already what it becomes.
 RUNS = r"[\t-\x0d][\t-\x0d ]*| [\t-\x0d ]+"
 
@@ -172,14 +173,18 @@ def owners(bodies: DataFrame, budget_bytes: int = BUDGET_BYTES) -> DataFrame:
     )
 
 
+def _id(name: str) -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID)).alias(name)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget_bytes: int = BUDGET_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs."""
-    bodies = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).cast("binary").alias("body"))
+    bodies = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), normalised(F.col(text_col)).cast("binary").alias("body"))
     found = owners(bodies, budget_bytes)
     return (
         bodies.select("doc_id", F.sha2("body", 256).alias("text_sha256"))
         .join(found, "text_sha256")
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+        .select(_id("doc_id"), _id("keep_id"), "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
     )
 
 

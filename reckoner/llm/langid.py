@@ -126,7 +126,7 @@ def annotate(docs: DataFrame, model: list[tuple[str, bytes]], text_col: str = "t
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = crc_mod(F.col("doc_id"), 4) == 2
+    held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
     model = fit(docs.filter(~held))
     found = annotate(docs.select("doc_id", "text", held.alias("held_out")), model)
     return found.select("doc_id", "held_out", F.col("predicted.lang").alias("lang_pred"), F.col("predicted.score").alias("score"), F.col("predicted.accepted").alias("accepted"))

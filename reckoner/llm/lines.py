@@ -54,7 +54,7 @@ def remove_spread_lines(docs: DataFrame, site_col: str, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keys = rows.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("key")).filter("key IS NOT NULL")
     marked = keys.join(spread, "key", "left_semi").distinct().groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
-    joined = rows.join(marked, "doc_id", "left")
+    joined = rows.join(marked.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
     whole = _lines(F.col("text"))
     kept = F.filter(whole, lambda line: ~F.coalesce(F.array_contains(F.col("gone"), _key(line)), F.lit(False)))
     kept = F.when(F.col("gone").isNull(), whole).otherwise(kept)

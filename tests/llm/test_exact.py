@@ -24,5 +24,11 @@ def test_matches_brute_force(spark, budget):
     assert {tuple(r) for r in X.exact_groups(docs, budget_bytes=budget).collect()} == brute(rows)
 
 
+def test_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a"), (4, "a"), (None, "b"), (None, "b")], "doc_id long, text string")
+    got = sorted((tuple(r)[:4] for r in X.exact_groups(docs).collect()), key=repr)
+    assert got == sorted([(None, 4, 2, False), (4, 4, 2, True), (None, None, 2, True), (None, None, 2, True)], key=repr)
+
+
 def test_empty(spark):
     assert X.exact_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
