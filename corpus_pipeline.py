@@ -23,14 +23,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter("__language.accepted").select(*docs.columns)
 
 
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is among kept."""
+    ids = kept.select(F.col("doc_id").alias("__kept_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_id"]), "left_semi")
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact.exact_groups(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return _only(docs, exact.exact_groups(docs).filter("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = simhash.near_duplicates(docs).filter(F.col("component_id") == F.col("doc_id")).select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return _only(docs, simhash.near_duplicates(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
