@@ -66,8 +66,18 @@ class Matcher:
             length = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in counts.items()))
             for w, n in counts.items():
                 self.postings.setdefault(w, []).append((name, n * self.idf[w] / length))
-        rare = sorted(self.idf, key=len, reverse=True)
-        self.any = re.compile(rb"\b(?:" + b"|".join(re.escape(w) for w in rare) + rb")\b")
+        self.anchors = sorted(set().union(*(self._anchors(counts) for counts in words.values())))
+
+    def _anchors(self, counts: Counter) -> set[bytes]:
+        """Words, long ones first, without all of which no line comes to MATCH with this template."""
+        square = {w: (n * self.idf[w]) ** 2 for w, n in counts.items()}
+        left, out = sum(square.values()), set()
+        for w in sorted(square, key=lambda w: (-len(w), w)):
+            if left < (MATCH - 1e-9) ** 2 * sum(square.values()):
+                break
+            left -= square[w]
+            out.add(w)
+        return out
 
     def cosine(self, line: bytes) -> tuple[float, str | None]:
         counts = Counter(_WORD.findall(line))
@@ -82,13 +92,18 @@ class Matcher:
         return dot[best] / length, best
 
     def best(self, text: bytes) -> tuple[str | None, float | None, bool]:
-        lines = [x for x in text.lower().splitlines() if x.strip()]
+        text = text.lower()
+        present = [a for a in self.anchors if a in text]
+        if not present:
+            return None, None, False
+        lines = [x for x in text.splitlines() if x.strip()]
         found: tuple[float, str | None, bytes] = (0.0, None, b"")
-        hit = [bool(self.any.search(x)) for x in lines]
+        hit = [any(a in x for a in present) for x in lines]
         for i, line in enumerate(lines):
-            if not hit[i]:
+            following = i + 1 < len(lines)
+            if not hit[i] and not (following and hit[i + 1]):
                 continue
-            for part in (line, line + b" " + lines[i + 1]) if i + 1 < len(lines) and hit[i + 1] else (line,):
+            for part in (line, line + b" " + lines[i + 1]) if following else (line,):
                 cosine, name = self.cosine(part)
                 if name and (-cosine, name) < (-found[0], found[1] or "~"):
                     found = (cosine, name, part)
