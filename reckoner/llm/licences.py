@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import table, utf8
+from .common import cut, table, utf8
 
 MATCH = 0.8
 #: Public statements of well-known licences.
@@ -151,5 +151,5 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 50).cast("string"), F.col("doc_id").cast("string"))
     found = scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text"))
-    rows = found.select("file_id", "path", "found.licence", "found.cosine", "found.mostly")
+    rows = cut(found.select("file_id", "path", "found.licence", "found.cosine", "found.mostly"))
     return inherit(rows, any_statement=True).withColumnRenamed("file_id", "doc_id")
