@@ -22,6 +22,7 @@ from .common import cut, table
 
 MIN_SITES = 10
 NEAR = 0.2  # relative band around the threshold in which estimates are not trusted
+SALTS = 32  # parts into which the documents of one line are dealt
 LG_K = 12  # 4096 registers: relative error 1.6 %
 
 
@@ -44,7 +45,7 @@ def spread_lines(docs: DataFrame, site_col: str, text_col: str = "text", min_sit
     guess = cut(guess.filter(F.col("sites") >= min_sites * (1 - NEAR)))
     sure = guess.filter(F.col("sites") > min_sites * (1 + NEAR)).select("key")
     near = guess.filter(F.col("sites") <= min_sites * (1 + NEAR)).select("key")
-    exact = seen.join(near, "key", "left_semi").distinct().groupBy("key").agg(F.count("site").alias("sites"))
+    exact = seen.distinct().join(near, "key", "left_semi").groupBy("key").agg(F.count("site").alias("sites"))
     return sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("key"))
 
 
@@ -53,7 +54,9 @@ def remove_spread_lines(docs: DataFrame, site_col: str, id_col: str = "doc_id",
     spread = cut(spread_lines(docs, site_col, text_col, min_sites))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keys = rows.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("key")).filter("key IS NOT NULL")
-    marked = keys.join(spread, "key", "left_semi").distinct().groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
+    keys = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    salted = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    marked = keys.join(salted, ["key", "salt"], "left_semi").select("doc_id", "key").distinct().groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
     joined = rows.join(marked.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
     whole = _lines(F.col("text"))
     kept = F.filter(whole, lambda line: ~F.coalesce(F.array_contains(F.col("gone"), _key(line)), F.lit(False)))
