@@ -241,6 +241,8 @@ def _attempt_sql(i: int) -> str:
     from .oracle import CTES, PLAIN, _rung
 
     own = _rung(9, PLAIN[i])
+    for name in ("pool9", "f9", "t9"):
+        CTES.pop(name, None)
     CTES["u9"], CTES["a9"] = "SELECT * FROM bank_credits", "SELECT * FROM batches"
     for name in ("pool9", "f9", "t9"):
         if name in own:

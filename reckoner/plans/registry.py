@@ -1,6 +1,6 @@
 """All queries and their SQL."""
 
-from . import queries
+from . import import_queries, queries, report_queries  # noqa: F401
 
 QUERIES = dict(queries.QUERIES)
 ORACLE_SQL = dict(queries.ORACLE_SQL)

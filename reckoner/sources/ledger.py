@@ -182,7 +182,7 @@ class Ledger:
     leak_truth: DataFrame
 
 
-_loaded: dict[tuple[str, str], Ledger] = {}
+_loaded: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def derive(orders: DataFrame) -> dict[str, DataFrame]:
@@ -195,10 +195,14 @@ def derive(orders: DataFrame) -> dict[str, DataFrame]:
     return frames
 
 
-def load(spark: SparkSession, sf_dir: str) -> Ledger:
-    """The ledger derived from a folder's orders table, kept for the session."""
+def frames_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Every table derived from a folder's orders, kept for the session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _loaded:
-        f = derive(spark.read.parquet(f"{sf_dir}/orders.parquet"))
-        _loaded[key] = Ledger(f["ledger_orders"], f["payments"], f["settlement_rows"], f["bank_credits"], f["credit_truth"], f["truth_links"], f["leak_truth"])
+        _loaded[key] = derive(spark.read.parquet(f"{sf_dir}/orders.parquet"))
     return _loaded[key]
+
+
+def load(spark: SparkSession, sf_dir: str) -> Ledger:
+    f = frames_of(spark, sf_dir)
+    return Ledger(f["ledger_orders"], f["payments"], f["settlement_rows"], f["bank_credits"], f["credit_truth"], f["truth_links"], f["leak_truth"])
