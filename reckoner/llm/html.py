@@ -51,13 +51,17 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 
 
+#: What a class says its element has beside it, not what it is: with-sidebar, no-ads.
+_WITHOUT = re.compile(r"\b(?:with|has|have|no|not|is|without)[-_]\S+", re.I)
+
+
 def _aside(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in SIDE or tag == "header" and not in_article:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
     for name, *values in _NAMES.findall(attributes):
-        value, name = "".join(values), name.lower()
+        value, name = _WITHOUT.sub("", "".join(values)), name.lower()
         if name in ("class", "id") and SIDE_WORDS.search(value) or name == "role" and value.lower() in SIDE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
     return False
@@ -70,6 +74,7 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
     part: list[str] = []
     linked = link = 0
     side, depth = "", 0  # the element that is set aside and how often it is open
+    unclosed = False  # whether it never closes, so that it ends where an article begins
     article = 0
     marked = False
     at = 0
@@ -98,18 +103,10 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
         if tag in BLOCKS:
             end()
             link = 0 if tag != "li" else link
-        if tag in ("article", "main"):
-            if closing:
-                article = max(0, article - 1)
-                if side and not article:
-                    side, depth = "", 0
-            else:
-                if side and not article:
-                    side, depth = "", 0  # an element left open before the article
-                article += 1
-                marked = True
-        elif side:
-            if tag == side and tag not in VOID and not attributes.endswith("/"):
+        if side and unclosed and tag in ("article", "main"):
+            side, depth, unclosed = "", 0, False
+        if side:
+            if tag == side and not attributes.endswith("/"):
                 depth += -1 if closing else 1
                 if depth <= 0:
                     end()
@@ -117,6 +114,10 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
         elif not closing and tag not in VOID and not attributes.endswith("/") and _aside(tag, attributes, article > 0):
             end()
             side, depth = tag, 1
+            unclosed = page.find(f"</{m[2]}", at) < 0
+        elif tag in ("article", "main"):
+            article = max(0, article - 1) if closing else article + 1
+            marked = True
     if at < len(page):
         part.append(page[at:].split("<")[0] if "<" in page[at:] else page[at:])
     end()

@@ -32,6 +32,10 @@ def test_layouts():
     assert got[:4] == want and "reader" not in got[-1]
     page = f"<body><aside>{LONG}</aside><main><header><h1>Title</h1></header><p>One &lt;b&gt; two<section class='comment-list'><p>no</p></section></main><p>{LONG}</p>"
     assert H.main_text(page) == "Title\nOne <b> two"
+    page = f"<article><h1>Title</h1><p>Text</p></article><aside><article><p>{LONG}</p></article></aside><section id='comments'><article class='comment'><p>{LONG}</p></article></section><article class='comment'><p>{LONG}</p></article>"
+    assert H.main_text(page) == "Title\nText"
+    page = f"<div class='page with-sidebar'><div class='entry'><p>{LONG}</p></div><div class='sidebar'><p>{LONG}</p></div><div role='alert'>{LONG}</div></div>"
+    assert H.main_text(page) == LONG.strip()
     page = f"<nav><ul><li>open menu<article><p>Body text</p></article>"
     assert H.main_text(page) == "Body text"
 
