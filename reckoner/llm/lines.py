@@ -55,7 +55,7 @@ def remove_spread_lines(docs: DataFrame, site_col: str, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     keys = rows.select("doc_id", F.explode(F.array_distinct(F.transform(_lines(F.col("text")), _key))).alias("key")).filter("key IS NOT NULL")
     keys = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    salted = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = spread.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     marked = keys.join(salted, ["key", "salt"], "left_semi").select("doc_id", "key").distinct().groupBy("doc_id").agg(F.collect_list("key").alias("gone"))
     joined = rows.join(marked.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left")
     whole = _lines(F.col("text"))
