@@ -6,6 +6,7 @@ of a match, candidates, confidence. A rung never picks among several fits.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -23,6 +24,7 @@ NEAR_DAYS = 1
 MERGE_BEFORE, MERGE_AFTER = 3, 1
 MOST_MEMBERS, MOST_POOL = 3, 66
 FLOOR, MARGIN = 0.78, 0.10
+SCORED_FROM = 0.65  # below FLOOR - MARGIN a score decides nothing and counts as 0
 SHARED_BIGRAMS = 3  # what a reference of twelve that reaches FLOOR has in common with the narration at least
 STRINGS = "array<string>"
 
@@ -129,22 +131,35 @@ def subset_sum(credits: DataFrame, batches: DataFrame, rates: DataFrame | None =
     )
 
 
-def best_window_ratio(reference: str, text: str) -> float:
-    """The best sequence ratio of a reference with a stretch of the text three characters longer."""
+def best_window_ratio(reference: str, text: str, floor: float = 0.0) -> float:
+    """The best sequence ratio of a reference with a stretch of the text three characters longer; 0 if floor or less.
+
+    Characters in common, kept while the stretch slides on, bound the ratio from
+    above, so that few stretches are compared in full.
+    """
     if not reference or not text:
         return 0.0
-    matcher, best, width = SequenceMatcher(a=reference, autojunk=False), 0.0, len(reference) + 3
+    size = len(reference)
+    left, common = Counter(reference), 0  # what of the reference the stretch lacks; how many it has
+    matcher, best, end = SequenceMatcher(a=reference, autojunk=False), floor, 0
     for start in range(len(text)):
-        matcher.set_seq2(text[start : start + width])
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+        if start:
+            left[text[start - 1]] += 1
+            common -= left[text[start - 1]] > 0
+        while end < min(len(text), start + size + 3):
+            common += left[text[end]] > 0
+            left[text[end]] -= 1
+            end += 1
+        if 2 * common / (size + end - start) > best:
+            matcher.set_seq2(text[start:end])
             best = max(best, matcher.ratio())
-    return best
+    return best if best > floor else 0.0
 
 
 @arrow_udf(T.DoubleType())
 def similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for references, texts in batches:
-        yield pa.array([best_window_ratio(a or "", b or "") for a, b in zip(references.to_pylist(), texts.to_pylist())], pa.float64())
+        yield pa.array([best_window_ratio(a or "", b or "", SCORED_FROM) for a, b in zip(references.to_pylist(), texts.to_pylist())], pa.float64())
 
 
 def _bigrams(text: Column) -> Column:

@@ -20,14 +20,15 @@ def cascade(credits: DataFrame, batches: DataFrame, rates: DataFrame, rungs=RUNG
     """The outcome of every credit. A rung sees the credits still open and the payouts unclaimed when it starts."""
     open_credits, open_batches, outcome, done = credits, batches, None, []
     for rung in rungs:
-        attempts = C.veto(rung(open_credits, open_batches, rates), open_credits, batches)
+        attempts = cut(rung(open_credits, open_batches, rates))
+        attempts = cut(C.veto(attempts, open_credits, batches))
         after = cut(C.fold(outcome, C.demote_contested(attempts)))
         matched = after.filter("verdict = 'MATCHED'")
         done.append(matched)
         outcome = after.filter("verdict <> 'MATCHED'")
         claimed = matched.select("merchant_id", F.explode("settlement_ids").alias("settlement_id"))
-        open_credits = credits.join(outcome.select(*CREDIT), CREDIT, "left_semi")
-        open_batches = open_batches.join(claimed, ["merchant_id", "settlement_id"], "left_anti")
+        open_credits = cut(credits.join(outcome.select(*CREDIT), CREDIT, "left_semi"))
+        open_batches = cut(open_batches.join(claimed, ["merchant_id", "settlement_id"], "left_anti"))
     whole = outcome
     for matched in done:
         whole = whole.unionByName(matched)

@@ -91,6 +91,19 @@ def test_fuzzy(made):
     assert rungs.best_window_ratio("JMSS5NDW4CR", "JMSS5NDW4CR") == 1.0
 
 
+def test_window_ratio_is_the_plain_one():
+    import random
+    from difflib import SequenceMatcher
+
+    random.seed(2)
+    for _ in range(300):
+        a = "".join(random.choices("0123ABCD", k=random.randint(1, 14)))
+        b = "".join(random.choices("0123ABCDXYZ", k=random.randint(1, 40)))
+        plain = max(SequenceMatcher(None, a, b[i : i + len(a) + 3], autojunk=False).ratio() for i in range(len(b)))
+        assert rungs.best_window_ratio(a, b) == plain
+        assert rungs.best_window_ratio(a, b, 0.65) == (plain if plain > 0.65 else 0.0)
+
+
 @pytest.mark.parametrize("share, verdict", [(0.01, "MATCHED"), (0.2, "NO_CANDIDATE"), (-0.01, "NO_CANDIDATE")])
 def test_shortfall(made, share, verdict):
     whole = net(1_000_000)
