@@ -596,10 +596,9 @@ def k8_accuracy(spark, d):
 # ------------------------------------------------------------------ scoring
 
 
-def _graded(spark, d, run=None):
-    ledger = load(spark, d)
-    run_, queue = (run, triage.exceptions(run)) if run else (_plain(spark, d), _queue(spark, d))
-    return scoring.graded_credits(ledger.truth, ledger.truth_links, run_.proofs, run_.shortfalls, queue)
+def _graded(spark, d):
+    ledger, run = load(spark, d), _plain(spark, d)
+    return scoring.graded_credits(ledger.truth, ledger.truth_links, run.proofs, run.shortfalls, _queue(spark, d))
 
 
 _CARD = """count(*) AS credits, count(*) FILTER (WHERE matchable AND provable) AS matchable, count(*) FILTER (WHERE NOT matchable) AS impossible, count(*) FILTER (WHERE claimed AND "right") AS true_positives, count(*) FILTER (WHERE claimed AND NOT "right") AS false_positives,
@@ -639,10 +638,13 @@ def e5_rates(spark, d):
 @query()
 def e6_ablation(spark, d):
     """One rung more for each row."""
-    out = None
-    for n in range(1, len(rungs.RUNGS) + 1):
-        run = run_of(spark, d, rungs.RUNGS[:n])
-        card = scoring.rates(scoring.scorecard(_graded(spark, d, run))).select(F.lit(n).alias("rungs"), F.lit(rungs.RUNGS[n - 1].__name__).alias("last_rung"), "*")
+    from .reconcile import ablation
+
+    whole, out = run_of(spark, d), None
+    for n, run in enumerate(ablation(whole.ledger, whole.batches, whole.rates), 1):
+        named = triage.shortfall_exceptions(triage.name_shortfalls(run.shortfalls, run.ledger.rows, run.rates))
+        graded = scoring.graded_credits(run.ledger.truth, run.ledger.truth_links, run.proofs, run.shortfalls, named)
+        card = scoring.rates(scoring.scorecard(graded)).select(F.lit(n).alias("rungs"), F.lit(rungs.RUNGS[n - 1].__name__).alias("last_rung"), "*")
         out = card if out is None else out.unionByName(card)
     return out
 

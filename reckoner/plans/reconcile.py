@@ -18,6 +18,12 @@ from ..sources.session import cut
 
 def cascade(credits: DataFrame, batches: DataFrame, rates: DataFrame, rungs=RUNGS) -> DataFrame:
     """The outcome of every credit. A rung sees the credits still open and the payouts unclaimed when it starts."""
+    return cascade_steps(credits, batches, rates, rungs)[-1]
+
+
+def cascade_steps(credits: DataFrame, batches: DataFrame, rates: DataFrame, rungs=RUNGS) -> list[DataFrame]:
+    """The outcome of every credit after each rung: what a cascade of only so many rungs would give."""
+    steps = []
     open_credits, open_batches, outcome, done = credits, batches, None, []
     for rung in rungs:
         attempts = cut(rung(open_credits, open_batches, rates))
@@ -29,10 +35,11 @@ def cascade(credits: DataFrame, batches: DataFrame, rates: DataFrame, rungs=RUNG
         claimed = matched.select("merchant_id", F.explode("settlement_ids").alias("settlement_id"))
         open_credits = cut(credits.join(outcome.select(*CREDIT), CREDIT, "left_semi"))
         open_batches = cut(open_batches.join(claimed, ["merchant_id", "settlement_id"], "left_anti"))
-    whole = outcome
-    for matched in done:
-        whole = whole.unionByName(matched)
-    return whole
+        whole = outcome
+        for part in done:
+            whole = whole.unionByName(part)
+        steps.append(whole)
+    return steps
 
 
 @dataclass(frozen=True)
@@ -50,7 +57,15 @@ class Run:
 def reconcile(ledger: Ledger, rungs=RUNGS, rates: DataFrame | None = None) -> Run:
     batches = cut(rebuild(ledger.rows))
     rates = cut(rates if rates is not None else rate_cards(ledger.rows))
-    outcome = cut(cascade(ledger.credits, batches, rates, rungs))
+    return _run(ledger, batches, rates, cut(cascade(ledger.credits, batches, rates, rungs)))
+
+
+def ablation(ledger: Ledger, batches: DataFrame, rates: DataFrame, rungs=RUNGS) -> list[Run]:
+    """A run for each number of rungs, from one pass over them."""
+    return [_run(ledger, batches, rates, cut(step)) for step in cascade_steps(ledger.credits, batches, rates, rungs)]
+
+
+def _run(ledger: Ledger, batches: DataFrame, rates: DataFrame, outcome: DataFrame) -> Run:
     proofs = cut(prove(outcome.filter("verdict = 'MATCHED'"), ledger.credits, batches).filter("proved"))
     withdrawn = outcome.filter("verdict <> 'MATCHED' AND size(withdrawn_ids) > 0").withColumn("settlement_ids", F.col("withdrawn_ids"))
     shortfalls = cut(prove(withdrawn, ledger.credits, batches).filter("NOT proved"))
