@@ -39,7 +39,6 @@ def _code(code: str, key: Column) -> Column:
     return F.when(F.col("code") == code, key)
 
 
-
 def _rate_bucket() -> Column:
     text = F.regexp_extract(_e("implied_rate"), r"^(\d+(?:\.\d+)?)%$", 1)
     return F.when(text != "", F.floor(text.try_cast("decimal(12,6)") / 100 / F.lit(BUCKET).cast("decimal(5,4)")).cast("string"))
@@ -51,19 +50,34 @@ def _payer() -> Column:
     return F.when((_e("reason") == "no candidate") & theirs, stem)
 
 
+#: The causes in the order of their rules, the most specific first.
+CAUSES = (
+    "Payouts reported missing that a deposit here already accounts for",
+    "A deduction that is not in the settlement report",
+    "GST deducted at another rate than the report shows",
+    "A whole payout run is missing",
+    "Several deposits all fit one settlement",
+    "Repeated deposits from one payer",
+    "Refunds netted out of a later payout",
+    "Payouts the gateway reported that never reached the bank",
+    "Captured payments the settlement report never mentions",
+)
+
+
 def rules() -> list[tuple[str, object]]:
-    """(cause, rule) in order, the most specific first."""
-    return [
-        ("Payouts reported missing that a deposit here already accounts for", _counted_twice),
-        ("A deduction that is not in the settlement report", _by(_code("FEE_DEDUCTION", _rate_bucket()))),
-        ("GST deducted at another rate than the report shows", _by(_code("TAX_DEDUCTION", _e("rate_applied")))),
-        ("A whole payout run is missing", _whole_run),
-        ("Several deposits all fit one settlement", _by(F.when(_e("reason") == "contested settlement", _e("settlement")))),
-        ("Repeated deposits from one payer", _by(_payer())),
-        ("Refunds netted out of a later payout", _by(F.when((F.col("code") == "PARTIAL_PAYMENT") & _e("recovered_by").isNotNull(), F.lit("all")))),
-        ("Payouts the gateway reported that never reached the bank", _by(_code("MISSING_SETTLEMENT", F.lit("all")))),
-        ("Captured payments the settlement report never mentions", _by(_code("UNSETTLED_PAYMENT", F.lit("all")))),
+    """(cause, rule) in order."""
+    found = [
+        _counted_twice,
+        _by(_code("FEE_DEDUCTION", _rate_bucket())),
+        _by(_code("TAX_DEDUCTION", _e("rate_applied"))),
+        _whole_run,
+        _by(F.when(_e("reason") == "contested settlement", _e("settlement"))),
+        _by(_payer()),
+        _by(F.when((F.col("code") == "PARTIAL_PAYMENT") & _e("recovered_by").isNotNull(), F.lit("all"))),
+        _by(_code("MISSING_SETTLEMENT", F.lit("all"))),
+        _by(_code("UNSETTLED_PAYMENT", F.lit("all"))),
     ]
+    return list(zip(CAUSES, found, strict=True))
 
 
 def _numbered(queue: DataFrame, no: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.text import BANK_WORDS, GATEWAY_WORDS, RAILS, REFERENCE_NOISE
+from ..operators.causes import CAUSES, LEAST
 from ..sources.ledger import BODIES, duckdb_body
 
 
@@ -211,6 +212,39 @@ LEFT JOIN proofs p USING (merchant_id, credit_id) LEFT JOIN shorts s USING (merc
 }
 
 
+#: The key that each rule of causes gives an exception, in their order.
+_CAUSE_KEYS = (
+    "CASE WHEN code = 'MISSING_SETTLEMENT' AND (merchant_id, subject_id) IN (SELECT (merchant_id, subject_id) FROM listed_payouts) THEN 'named' END",
+    "CASE WHEN code = 'FEE_DEDUCTION' THEN CAST(rate_bucket AS VARCHAR) END",
+    "CASE WHEN code = 'TAX_DEDUCTION' THEN rate_applied END",
+    "CASE WHEN code = 'MISSING_SETTLEMENT' AND settled_on IS NOT NULL AND min(that_day) OVER day = count(*) OVER day AND max(that_day) OVER day = count(*) OVER day THEN CAST(settled_on AS VARCHAR) END",
+    "CASE WHEN reason = 'contested settlement' THEN settlement END",
+    f"CASE WHEN reason = 'no candidate' AND stem <> '' AND NOT list_has_any(string_split(stem, ' '), [{quoted(GATEWAY_WORDS)}]) THEN stem END",
+    "CASE WHEN code = 'PARTIAL_PAYMENT' AND recovered_by IS NOT NULL THEN 'all' END",
+    "CASE WHEN code = 'MISSING_SETTLEMENT' THEN 'all' END",
+    "CASE WHEN code = 'UNSETTLED_PAYMENT' THEN 'all' END",
+)
+
+
+def _cause_ctes() -> dict[str, str]:
+    """Each rule over what the rules before it left, then the causes they found."""
+    out = {"listed_payouts": "SELECT DISTINCT merchant_id, unnest(string_split(settlements, ', ')) AS subject_id FROM queue WHERE settlements IS NOT NULL"}
+    left, taken = "queue", []
+    for no, (name, key) in enumerate(zip(CAUSES, _CAUSE_KEYS, strict=True), 1):
+        out[f"keyed_{no}"] = f"SELECT *, count(key) OVER (PARTITION BY merchant_id, key) AS alike FROM (SELECT *, {key} AS key FROM {left} WINDOW day AS (PARTITION BY merchant_id, code, settled_on))"
+        left = f"(SELECT * EXCLUDE (key, alike) FROM keyed_{no} WHERE alike < {LEAST})"
+        taken.append(f"SELECT merchant_id, {no} AS rule_no, '{name}' AS cause, key AS cause_key, code, subject_id, amount FROM keyed_{no} WHERE alike >= {LEAST}")
+    out["caused"] = " UNION ALL ".join(taken)
+    out["causes_found"] = f"""
+SELECT *, CAST(row_number() OVER (PARTITION BY merchant_id ORDER BY total DESC, members DESC, cause, cause_key) AS INTEGER) AS place
+FROM (SELECT merchant_id, cause, cause_key, count(*) AS members, {total('abs(amount)')} AS total, array_to_string(list_sort(list(DISTINCT code)), ', ') AS codes,
+      array_to_string(list_sort(list(subject_id)), ',') AS member_ids FROM caused GROUP BY merchant_id, rule_no, cause, cause_key)"""
+    return out
+
+
+CTES |= _cause_ctes()
+
+
 def with_ctes(select: str) -> str:
     """The select with the expressions it needs before it."""
     names = list(CTES)

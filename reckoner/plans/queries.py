@@ -481,7 +481,7 @@ for _no, (_rule, _sql) in enumerate(_RULES):
     _rule_query(_rule, _no, _sql)
 
 
-@query()
+@query("SELECT merchant_id, place, cause, cause_key, members, total, codes, member_ids FROM causes_found")
 def c16_causes(spark, d):
     return causes.induce(_queue(spark, d)).select("merchant_id", "place", "cause", "cause_key", "members", "total", "codes", _list("member_ids"))
 

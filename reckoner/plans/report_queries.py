@@ -50,7 +50,7 @@ def q7_unsettled(spark, d):
     return reports.by_size(_queue(spark, d), ["UNSETTLED_PAYMENT"])
 
 
-@query()
+@query("SELECT merchant_id, place, cause AS label, members, total AS amount FROM causes_found UNION ALL SELECT merchant_id, 1000000, 'each their own', count(*), NULL FROM queue WHERE (merchant_id, code, subject_id) NOT IN (SELECT (merchant_id, code, subject_id) FROM caused) GROUP BY merchant_id")
 def q8_unexplained(spark, d):
     queue = _queue(spark, d)
     return reports.unexplained(causes.induce(queue), causes.coverage(queue))
