@@ -43,10 +43,10 @@ SMOOTHING = 0.05
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
-    """doc_id and domain: toxic, else good or plain by quality. Rows without labels are left out."""
-    toxic, quality = F.col("toxic"), F.col("quality")
+    """doc_id and domain: toxic, else good or plain by quality. Of several rows of a document the largest values count; documents without labels are left out."""
+    toxic, quality = F.max("toxic"), F.max("quality")
     domain = F.when(toxic == 1, "toxic").when(quality == 1, "good").when(quality == 0, "plain")
-    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), domain.alias("domain")).filter("domain IS NOT NULL").dropDuplicates(["doc_id"])
+    return labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(domain.alias("domain")).filter("domain IS NOT NULL")
 
 
 def _buckets(text: bytes) -> np.ndarray:

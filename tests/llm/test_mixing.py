@@ -63,3 +63,9 @@ def test_cases(spark):
     assert mixed.columns == docs.columns
     wanted = sum(r.copies for r in got)
     assert mixed.count() == wanted
+
+
+def test_repeated_labels(spark):
+    rows = [(1, 0, 0), (1, 1, 0), (2, 1, 0), (2, None, 1), (3, 0, None), (3, 0, 0), (4, None, None), (4, None, 0)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    assert {tuple(r) for r in M.label_domains(labels).collect()} == {(1, "good"), (2, "toxic"), (3, "plain")}
