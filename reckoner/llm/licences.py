@@ -13,6 +13,10 @@ inherits from the nearest directory above it that holds a licence file or, with
 `any_statement`, any file with a statement: paths are taken apart into their
 ancestors and joined with the licensed directories, and the longest wins.
 
+Several templates may state one licence: their names are the licence and, after
+a `#`, the wording. Rights that are only reserved are often the notice above a
+licence, so the licence counts where a text holds both.
+
 Defined cases: null or empty text has no statement; a null path gets no
 inheritance; of a directory's statements the one with the largest cosine counts,
 equals by template name; repeated rows each get their row; other columns are
@@ -49,7 +53,13 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "All rights reserved. Unauthorised copying is prohibited.",
+    "Proprietary#notice": "All rights reserved.",
+    "Proprietary#are": "All rights are reserved.",
+    "Proprietary#de": "Alle Rechte vorbehalten.",
+    "Proprietary#es": "Todos los derechos reservados.",
+    "Proprietary#fr": "Tous droits réservés.",
 }
+RESERVED = "Proprietary"
 LICENCE_NAMES = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 FOUND = T.StructType([T.StructField("licence", T.StringType()), T.StructField("cosine", T.DoubleType()), T.StructField("mostly", T.BooleanType())])
 _WORD = re.compile(rb"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -105,9 +115,12 @@ class Matcher:
                 continue
             for part in (line, line + b" " + lines[i + 1]) if following else (line,):
                 cosine, name = self.cosine(part)
-                if name and (-cosine, name) < (-found[0], found[1] or "~"):
+                if name is None or cosine < MATCH:
+                    continue
+                name = name.partition("#")[0]
+                if found[1] is None or (name == RESERVED, -cosine, name) < (found[1] == RESERVED, -found[0], found[1]):
                     found = (cosine, name, part)
-        if found[1] is None or found[0] < MATCH:
+        if found[1] is None:
             return None, None, False
         return found[1], min(1.0, found[0]), 2 * len(found[2]) >= sum(map(len, lines))
 

@@ -48,3 +48,28 @@ def test_planted_statements(spark):
     want = {d.doc_id for d in docs if "icensed under" in d.text or "under the MIT License" in d.text}
     got = {r.doc_id for r in L.op4_license_scan(spark, "/root/testdata/sf0.01").filter("cosine IS NOT NULL").collect()}
     assert len(got & want) >= 0.95 * len(want)
+
+
+def test_every_planted_form_is_found(spark):
+    """Lines of the corpus that state a licence, by form; each document has the licence of one of its lines."""
+    forms = {
+        "All rights reserved.": "Proprietary",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    stated = {}
+    for d in docs.filter(docs.text.rlike("(?i)licensed under|MIT License|rights reserved")).collect():
+        if here := {forms[line] for line in d.text.splitlines() if line in forms}:
+            stated[d.doc_id] = here
+    assert set().union(*stated.values()) == set(forms.values())
+    got = {r.doc_id: r.licence for r in L.op4_license_scan(spark, "/root/testdata/sf0.1").filter("cosine IS NOT NULL").collect()}
+    assert all(got.get(i) in here for i, here in stated.items())
+
+
+def test_reserved_rights_yield_to_a_licence():
+    matcher = L.Matcher(L.TEMPLATES)
+    assert matcher.best(b"All rights reserved.\nmore words\n" + MIT.encode())[0] == "MIT"
+    assert all(matcher.best(x.encode())[0] == "Proprietary" for x in ("All rights reserved.", "all rights are reserved", "Tous droits réservés.", L.TEMPLATES["Proprietary"]))
