@@ -2,7 +2,8 @@
 
 language ID: documents whose language is rejected go.
 exact dedup: of equal texts the one with the smallest doc_id stays.
-near dedup: of each SimHash component the one with the smallest doc_id stays.
+near dedup: of each component the one with the smallest doc_id stays; links are
+SimHash links and a Jaccard similarity of 0.8 or more on five-word shingles.
 mixing: a document comes as often as its fitted rate says.
 BPE: each document's ids and their decoding, as digests.
 """
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from reckoner.llm import bpe, exact, langid, mixing, simhash
 from reckoner.llm.common import shared_dir, table
 
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.annotate(docs, langid.fit(docs), out_col="__language")
@@ -34,7 +37,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, simhash.near_duplicates(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    return _only(docs, simhash.near_duplicates(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

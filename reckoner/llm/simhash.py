@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .common import cut, table, utf8
+from .shingles import node, similar
 
 SEED = 42
 THRESHOLD = 2
@@ -256,11 +257,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded_at: int = CROWDED) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for each row of docs."""
-    prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_udf(utf8(F.col(text_col))).alias("fp")))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded_at: int = CROWDED, words: int | None = None, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for each row of docs.
+
+    With `words`, texts whose shingles of so many words have this Jaccard similarity or more link as well.
+    """
+    text = utf8(F.col(text_col))
+    prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_udf(text).alias("fp"), *([node(text).alias("node")] if words else [])))
     fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = cut(components(links(fps.select("fp"), crowded_at)))
+    edges = links(fps.select("fp"), crowded_at)
+    if words:
+        found = similar(docs.select(node(text).alias("node"), text.alias("text")), words, similarity)
+        of = prints.select("node", "fp").distinct()
+        ends = found.join(of.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
+        edges = edges.unionByName(ends.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))).distinct()
+    roots = cut(components(edges))
     linked = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
     lows = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.select("fp", "root").join(lows, "root").select("fp", "component_id")
