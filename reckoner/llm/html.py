@@ -2,17 +2,20 @@
 
 Markup is stripped to lines, one for each block element in page order. A line's
 weight is the length of its own text; lines of menus, forms, sidebars, adverts
-and the like weigh nothing, and where a page marks its article, so do lines
-outside it. The block at a line is the sum of weights over a sliding window of
-WINDOW lines. Text surges where a block passes the threshold and dives where the
-block falls to nothing; the lines with weight between a surge and its dive are
-kept. The threshold is nothing for pages with a marked article, else SURGE
-characters; if no block passes, the heaviest run is kept.
+and the like weigh nothing. Where a page marks its article, the lines inside weigh
+MARK more and those outside nothing. The block at a line is the sum of weights
+over a sliding window of WINDOW lines. Text surges where a block reaches SURGE and
+dives where the block falls to nothing; the lines with weight between a surge and
+its dive are kept; if nothing surges, the heaviest run is kept. So short lines
+count where a window joins them to long ones, and a mark is worth a surge.
 
 Defined cases: null or empty html, or html without main text, gives an empty
 text; character references are decoded; white space, line ends and <br> inside a
-block become one space; unclosed elements end with their container or the page;
-repeated rows each get their text; other columns are ignored.
+block become one space; a < that begins no tag is text; comments and scripts end
+where the first of them to open ends; unclosed elements end with their container
+or the page, unclosed or self-closed ones that would be set aside at their own
+tag; after a quote that never closes, tags end at the first >; repeated rows each
+get their text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,13 +33,13 @@ from .common import table
 
 WINDOW = 3
 SURGE = 80
+MARK = SURGE
 LINKED = 0.5  # share of a line's text inside links from which it is a menu line
 
 #: Fixed values of HTML.
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select option button title head".split())
-SIDE = frozenset("nav footer aside form menu dialog".split())
+SIDE = frozenset("nav footer aside form menu dialog noscript template svg math object canvas select button".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIDE_WORDS = re.compile(
@@ -45,9 +48,11 @@ SIDE_WORDS = re.compile(
 )
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
-_RAW = re.compile(r"<(script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+#: Comments, declarations and raw text as a whole, else a tag; whichever opens first.
+_NEXT = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|title|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)"
+_QUOTED = re.compile(_NEXT + r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S | re.I)
+_PLAIN = re.compile(_NEXT + r"([^>]*+)>", re.S | re.I)
+_OPENS = re.compile(r"<(?=/?[a-z])", re.I)
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 
 
@@ -67,9 +72,26 @@ def _aside(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def tokens(page: str) -> list[tuple[str, str, str | None, str]]:
+    """(text before, / of a closing tag, tag, attributes) in page order; comments have the tag "", raw text "#raw"; the rest of the page has None."""
+    out, at, pattern = [], 0, _QUOTED
+    while True:
+        m = pattern.search(page, at)
+        if pattern is _QUOTED:
+            # A tag that stands before the match has a quote that never closes.
+            left = _OPENS.search(page, at, m.start() if m else len(page))
+            if left and page.find(">", left.start()) >= 0:
+                pattern = _PLAIN
+                continue
+        if not m:
+            out.append((page[at:], "", None, ""))
+            return out
+        out.append((page[at : m.start()], m[2] or "", "#raw" if m[1] else (m[3] or "").lower(), m[4] or ""))
+        at = m.end()
+
+
 def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
     """(text, weight) of each block in page order, and whether an article is marked."""
-    page = _RAW.sub(" ", _DROP.sub("", page))
     out: list[tuple[str, bool, bool, int]] = []  # text, set aside, inside the article, characters in links
     part: list[str] = []
     linked = link = 0
@@ -77,7 +99,8 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
     unclosed = False  # whether it never closes, so that it ends where an article begins
     article = 0
     marked = False
-    at = 0
+    found = tokens(page)
+    last_close = {tag: i for i, (_, closing, tag, _) in enumerate(found) if closing}
 
     def end() -> None:
         nonlocal part, linked
@@ -87,15 +110,16 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
                 out.append((text, bool(side), article > 0, linked))
         part, linked = [], 0
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for i, (piece, closing, tag, attributes) in enumerate(found):
+        if piece:
             part.append(piece)
             if link:
                 linked += len(piece.strip())
-        at = m.end()
-        closing, tag, attributes = m[1], m[2].lower(), m[3]
-        if tag == "br":
+        if tag is None:
+            break
+        if tag == "":
+            continue
+        if tag in ("br", "#raw"):
             part.append(" ")
             continue
         if tag == "a":
@@ -112,28 +136,29 @@ def lines(page: str) -> tuple[list[tuple[str, int]], bool]:
                     end()
                     side, depth = "", 0
         elif not closing and tag not in VOID and not attributes.endswith("/") and _aside(tag, attributes, article > 0):
-            end()
-            side, depth = tag, 1
-            unclosed = page.find(f"</{m[2]}", at) < 0
+            unclosed = last_close.get(tag, -1) < i
+            if not unclosed or tag in BLOCKS:
+                end()
+                side, depth = tag, 1
         elif tag in ("article", "main"):
             article = max(0, article - 1) if closing else article + 1
             marked = True
-    if at < len(page):
-        part.append(page[at:].split("<")[0] if "<" in page[at:] else page[at:])
     end()
     marked = marked and any(inside and not aside for _, aside, inside, _ in out)
     weighed = []
     for text, aside, inside, in_links in out:
-        menu = not marked and in_links >= LINKED * len(text)
-        weighed.append((text, 0 if aside or menu or marked and not inside else len(text)))
+        if aside or marked and not inside or not marked and in_links >= LINKED * len(text):
+            weighed.append((text, 0))
+        else:
+            weighed.append((text, len(text) + MARK * inside))
     return weighed, marked
 
 
 def main_text(page: str) -> str:
-    found, marked = lines(page)
+    found, _ = lines(page)
     weights = [w for _, w in found]
     blocks = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    runs: list[tuple[int, int, bool]] = []  # first line, line after the last, whether a block passed the threshold
+    runs: list[tuple[int, int, bool]] = []  # first line, line after the last, whether it surges
     start = None
     for i, block in enumerate([*blocks, 0]):
         if block and start is None:
@@ -141,10 +166,8 @@ def main_text(page: str) -> str:
         elif not block and start is not None:
             runs.append((start, i, max(blocks[start:i]) >= SURGE))
             start = None
-    if not marked:
-        surged = [r for r in runs if r[2]]
-        runs = surged or sorted(runs, key=lambda r: (-sum(weights[r[0] : r[1]]), r[0]))[:1]
-    return "\n".join(found[i][0] for a, b, _ in runs for i in range(a, b) if found[i][1])
+    kept = [r for r in runs if r[2]] or sorted(runs, key=lambda r: (-sum(weights[r[0] : r[1]]), r[0]))[:1]
+    return "\n".join(found[i][0] for a, b, _ in kept for i in range(a, b) if found[i][1])
 
 
 @arrow_udf(T.StringType())

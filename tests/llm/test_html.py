@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from reckoner.llm import html as H
 
@@ -46,3 +47,34 @@ def test_cases(spark):
     assert sorted(got)[:6] == [(1, ""), (2, ""), (3, ""), (4, "plain words"), (4, "plain words"), (5, "\n".join(["w"] * 50_000))]
     assert sorted(got)[6] == (6, "")
     assert H.extract(pages.limit(0)).collect() == []
+
+
+def test_no_text_is_lost():
+    assert H.main_text("<article><p>x < y and more text here") == "x < y and more text here"
+    assert H.main_text("<p>first</p>tail a < b tail words") == "first\ntail a < b tail words"
+    assert H.main_text('<script>var s="<!--";</script><article><p>Body text</p></article>') == "Body text"
+    assert H.main_text("<!-- <script> --><article><p>Body</p><script>a='</p><p>x'</script><p>End</p></article>") == "Body\nEnd"
+    assert H.main_text("<article><p>One <svg/> two</p><p>Three <button> four</p></article>") == "One two\nThree four"
+    assert H.main_text("<article><p title=\"x > y\">a</p><p title=\"open>b</p><p>c</p></article>").endswith("b\nc")
+    assert H.main_text("<article><p>a</p><svg><text>no</text></svg><p>b <!-- c --> d</p></article>") == "a\nb d"
+
+
+def test_windows_decide(monkeypatch):
+    """On pages without a marked article, surges and dives choose the lines."""
+    menu = "".join(f"<div><a href='/{i}'>menu {i}</a></div>" for i in range(2))
+    page = f"<body><div>Site</div>{menu * 2}<p>{LONG}</p>{menu}<p>Short.</p>{menu * 2}<p>Tiny.</p></body>"
+    assert H.main_text(page) == f"{LONG.strip()}\nShort."
+    monkeypatch.setattr(H, "WINDOW", 1)
+    assert H.main_text(page) == LONG.strip()
+    monkeypatch.setattr(H, "WINDOW", 5)
+    assert H.main_text(page) == f"Site\n{LONG.strip()}\nShort.\nTiny."
+    monkeypatch.setattr(H, "WINDOW", 3)
+    monkeypatch.setattr(H, "SURGE", 3)
+    assert H.main_text(page) == f"Site\n{LONG.strip()}\nShort.\nTiny."
+
+
+def test_large_pages_take_linear_time():
+    for unit in ("<a title=\"x>word ", "<nav>menu ", "<p>word < ", "<select>x "):
+        start = time.monotonic()
+        H.main_text(unit * (5_000_000 // len(unit)))
+        assert time.monotonic() - start < 30
