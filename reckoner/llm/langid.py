@@ -5,15 +5,17 @@ labelled texts. A text, as lower-case letters and single spaces, is compressed
 with every dictionary in pieces of PIECE bytes, all of it, and the language with
 the smallest total wins. Where the two best are close, the text is compressed
 again with a slower setting that finds shorter matches; languages still level are
-settled in favour of the one with more training documents. A text of some length
-whose margin stays narrow is rejected.
+settled in favour of the one with more training documents. A text whose margin
+stays at or under NARROW of its smallest size is rejected, whatever its length; so
+is every tie.
 
 The sample: for each language up to SAMPLE_DOCS labelled texts in the order of a
 hash of their id, those of 200 to 2048 bytes first, and DICT_BYTES of them.
 
 Defined cases: null text or text without a letter gives `und`, score 0, rejected;
 with no labelled training text every document is `und`; a null lang is not
-learned from; other columns are ignored (annotate keeps them).
+learned from; with one learned language nothing is narrow; repeated rows each get
+their result, the same; other columns are ignored (annotate keeps them).
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ DICT_BYTES = 65_536
 PIECE = 4096
 LEVEL, FINE_LEVEL = 6, 19
 FINE_BELOW = 0.01  # of a text's bytes: a closer margin is measured again
-REJECT_BELOW, REJECT_FROM = 0.001, 200  # share of a text's bytes; bytes a text needs to be rejected for its margin
+NARROW = 0.02  # of the smallest size: a margin that rejects
+LEAST_BYTES = 8  # a dictionary that is shorter is filled up with spaces
 UNKNOWN = "und"
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
@@ -63,8 +66,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     model = []
     for lang in sorted(texts, key=lambda x: (-counts[x], x)):
         whole = " ".join(t for _, t in sorted(texts[lang]) if t).encode()[:DICT_BYTES]
-        if len(whole) >= 8:
-            model.append((lang, whole))
+        if whole:
+            model.append((lang, whole.ljust(LEAST_BYTES)))
     return model
 
 
@@ -92,13 +95,12 @@ class Classifier:
         if not text or not self.langs:
             return UNKNOWN, 0.0, False
         sizes = self.sizes(self.quick, text)
-        best, second = (sorted(sizes) + [10**9])[:2]
+        best, second = (sorted(sizes) + [math.inf])[:2]
         if second - best <= max(2, FINE_BELOW * len(text)):
             sizes = self.sizes(self.fine, text)
-            best, second = (sorted(sizes) + [10**9])[:2]
+            best, second = (sorted(sizes) + [math.inf])[:2]
         score = 1 / sum(math.exp(best - s) for s in sizes)
-        narrow = second - best <= REJECT_BELOW * len(text) and len(text) >= REJECT_FROM
-        return self.langs[sizes.index(best)], score, not narrow
+        return self.langs[sizes.index(best)], score, second - best > NARROW * best
 
 
 def predictor(spark: SparkSession, model: list[tuple[str, bytes]]):
