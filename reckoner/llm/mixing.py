@@ -8,7 +8,11 @@ gradient descent from r = 1: every step is one distributed sum of the domain
 totals, and each document moves by its own posteriors times the same few
 numbers, and is cut at zero. The gradient is scaled by the inverse of
 sum t_i p_i p_i' over documents not at zero, which makes a step without cuts
-exact; with cuts it takes a few steps more, halved where one went too far. Rates become whole copies by a hash of the id, right in mean.
+exact; with cuts it takes a few steps more, halved where one went too far. The
+loop ends when no domain is further than TOLERANCE (a share of all tokens) from its
+target or after STEPS; the residual it ends with is part of the fit, stands beside
+every rate, and is warned of where it is over TOLERANCE. Rates become whole copies
+by a hash of the row's id, right in mean.
 
 Classifier: multinomial naive Bayes on words hashed to BUCKETS, its log odds
 divided by the square root of the word count, so that long texts stay soft. It is
@@ -16,15 +20,18 @@ fitted on at most SAMPLE_DOCS labelled documents, in the order of a hash of thei
 id; posteriors, totals and rates cover every document.
 
 Defined cases: null or empty text has no tokens, the prior as posterior and the
-rate that follows from it; domains without labelled documents take no part;
-with no labels at all every rate is 1; repeated rows each count; other columns
-stay (mix) or are ignored (rates).
+rate that follows from it; domains without labelled documents take no part, and
+the targets of the others are taken in proportion; where none of these has a
+target over 0, as with no labels at all, every rate is 1 and the residual null;
+repeated rows each count; other columns stay (mix) or are ignored (rates).
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut, table, utf8
+from .common import cut, table, utf8, written
 
 BUCKETS = 1 << 16
 SAMPLE_DOCS = 20_000
@@ -130,26 +137,34 @@ def _moved(rate: Column, posterior: Column, step: list[float]) -> Column:
     return F.greatest(F.lit(0.0), rate)
 
 
-def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> list[list[float]]:
-    """The steps that lead from rate 1 to the fitted rates. members: n_tokens, posterior; targets: weights by domain."""
+@dataclass
+class Fit:
+    """The steps that lead from rate 1 to the fitted rates, and the largest difference of a domain's share from its target."""
+
+    steps: list[list[float]]
+    residual: float | None = None
+
+
+def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> Fit:
+    """members: n_tokens, posterior; targets: weights by domain."""
     k = len(targets)
-    if not k:
-        return []
+    if not k or sum(targets) <= 0:
+        return Fit([])
     p = [F.element_at("posterior", d + 1) for d in range(k)]
     t = F.col("n_tokens").cast("double")
     open_tokens = F.when(F.col("rate") > 0, t).otherwise(0.0)
     total = members.agg(F.sum(t)).first()[0]
     if not total:
-        return []
+        return Fit([])
     goal = np.array(targets) / sum(targets)
     state, taken, held, size = members.select("n_tokens", "posterior").withColumn("rate", F.lit(1.0)), [], np.inf, 1.0
-    for n in range(steps):
+    for n in range(steps + 1):
         sums = [F.sum(t * F.col("rate") * x).alias(f"d{i}") for i, x in enumerate(p)]
         sums += [F.sum(open_tokens * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
         row = state.agg(*sums).first()
         residual = np.array([row[f"d{i}"] for i in range(k)]) / total - goal
-        far = np.abs(residual).max()
-        if far < TOLERANCE:
+        far = float(np.abs(residual).max())
+        if far < TOLERANCE or n == steps:
             break
         size = size / 2 if far > held else min(1.0, 1.5 * size)
         held = far
@@ -158,7 +173,9 @@ def fit_rates(members: DataFrame, targets: list[float], steps: int = STEPS) -> l
         state = state.withColumn("rate", _moved(F.col("rate"), F.col("posterior"), taken[-1]))
         if n % 8 == 7:
             state = cut(state)
-    return taken
+    if far >= TOLERANCE:
+        warnings.warn(f"rates fitted to within {far:.2g} of the targets only", stacklevel=2)
+    return Fit(taken, far)
 
 
 def rate_of(posterior: Column, taken: list[list[float]]) -> Column:
@@ -174,25 +191,23 @@ def copies_of(rate: Column, id_col: Column) -> Column:
     return F.floor(rate + part).cast("int")
 
 
-def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> tuple[Classifier, list[list[float]], DataFrame]:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
+    """doc_id, n_tokens, a posterior p_<domain> for each target, rate, copies and the fit's residual for each row of docs."""
     model = fit(docs, label_domains(labels))
     members = cut(membership(docs.select("doc_id", "text"), model).select("doc_id", "member.n_tokens", "member.posterior"))
-    return model, fit_rates(members, [targets.get(d, 0.0) for d in model.domains]), members
-
-
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """doc_id, n_tokens, a posterior p_<domain> for each target, rate, copies for each row of docs."""
-    model, taken, members = _fitted(docs, labels, targets)
+    fitted = fit_rates(members, [targets.get(d, 0.0) for d in model.domains])
     named = [(F.element_at("posterior", model.domains.index(d) + 1) if d in model.domains else F.lit(0.0)).alias(f"p_{d}") for d in sorted(targets)]
-    return members.withColumn("rate", rate_of(F.col("posterior"), taken)).select("doc_id", "n_tokens", *named, "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"))
+    found = members.withColumn("rate", rate_of(F.col("posterior"), fitted.steps))
+    return found.select("doc_id", "n_tokens", *named, "rate", copies_of(F.col("rate"), F.col("doc_id")).alias("copies"), F.lit(fitted.residual).cast("double").alias("residual"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of docs, each as often as its copies say."""
-    model, taken, _ = _fitted(docs, labels, targets)
-    own = docs.columns
-    with_copies = membership(docs, model, out_col="__member").withColumn("__copies", copies_of(rate_of(F.col("__member.posterior"), taken), F.col("doc_id")))
-    return with_copies.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*own)
+    """The rows of docs, each as often as its copies say. Posteriors are found once and kept beside the rows."""
+    model = fit(docs, label_domains(labels))
+    members = written(membership(docs, model, out_col="__member"), "members")
+    fitted = fit_rates(members.select("__member.n_tokens", "__member.posterior"), [targets.get(d, 0.0) for d in model.domains])
+    copies = copies_of(rate_of(F.col("__member.posterior"), fitted.steps), F.col("doc_id"))
+    return members.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

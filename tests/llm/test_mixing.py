@@ -1,4 +1,9 @@
+import math
+import zlib
+from collections import Counter
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from reckoner.llm import mixing as M
 
@@ -34,12 +39,14 @@ def test_as_near_as_plain_gradient(spark):
     t = rng.integers(1, 200, 300)
     members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "n_tokens long, posterior array<double>")
     for goal in ([0.6, 0.3, 0.1], [0.98, 0.01, 0.01]):
-        taken = M.fit_rates(members, goal, steps=24)
+        fitted = M.fit_rates(members, goal, steps=24)
+        taken = fitted.steps
         got = members.withColumn("rate", M.rate_of(F.col("posterior"), taken)).toPandas()
         x = got.n_tokens.to_numpy(float)
         q = np.stack(got.posterior)
         totals = (x * got.rate.to_numpy()) @ q / x.sum()
         _, want = plain_rates(x, q, np.array(goal))
+        assert abs(fitted.residual - np.abs(totals - goal).max()) < 1e-9
         assert np.abs(totals - goal).max() <= np.abs(want - goal).max() + 1e-3
 
 
@@ -69,3 +76,38 @@ def test_repeated_labels(spark):
     rows = [(1, 0, 0), (1, 1, 0), (2, 1, 0), (2, None, 1), (3, 0, None), (3, 0, 0), (4, None, None), (4, None, 0)]
     labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
     assert {tuple(r) for r in M.label_domains(labels).collect()} == {(1, "good"), (2, "toxic"), (3, "plain")}
+
+
+def test_targets_without_domains(spark):
+    """Targets of absent domains, or of nothing, leave every rate at 1; a target that can't be met is warned of."""
+    docs = spark.createDataFrame([(1, "good fine words"), (2, "more good words"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    for targets in ({"toxic": 1.0}, {"good": 0.0}, {}):
+        rows = M.rates(docs, labels, targets).collect()
+        assert [(r.rate, r.copies, r.residual) for r in rows] == [(1.0, 1, None)] * 3
+    assert M.mix(docs, labels, {"toxic": 1.0}).count() == 3
+    members = spark.createDataFrame([(10, [0.5, 0.5]), (10, [0.4, 0.6])], "n_tokens long, posterior array<double>")
+    with pytest.warns(UserWarning, match="only"):
+        assert M.fit_rates(members, [1.0, 0.0]).residual > 0.1
+
+
+def test_posteriors_match_brute_force(spark):
+    """Naive Bayes over the labelled documents, with dictionaries."""
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").collect()]
+    domain = dict(M.label_domains(spark.read.parquet(f"{DIR}/labels.parquet")).collect())
+    counts = {d: Counter() for d in sorted(set(domain.values()))}
+    sizes = Counter()
+    bucket = lambda w: zlib.crc32(w) % (1 << 16)
+    for i, text in docs:
+        if i in domain:
+            counts[domain[i]].update(bucket(w) for w in text.encode().lower().split())
+            sizes[domain[i]] += 1
+    total = {d: c.total() + 0.05 * (1 << 16) for d, c in counts.items()}
+    got = {r.doc_id: r for r in M.op1_mixing(spark, DIR).collect()}
+    for i, text in docs[:60]:
+        words = text.encode().lower().split()
+        logits = {d: math.log(sizes[d] / sizes.total()) + sum(math.log((counts[d][bucket(w)] + 0.05) / total[d]) for w in words) / math.sqrt(max(1, len(words))) for d in counts}
+        top = max(logits.values())
+        odds = {d: math.exp(v - top) for d, v in logits.items()}
+        assert got[i].n_tokens == len(words)
+        assert all(abs(got[i][f"p_{d}"] - v / sum(odds.values())) < 1e-4 for d, v in odds.items())
