@@ -4,17 +4,22 @@ A document's fingerprint has a bit set where more than half of its three-word
 shingles' XXH64 values (seed 42) have it. Two fingerprints link when they differ
 in at most two bits; a component is everything reachable over links.
 
-Anchors are the codewords of the perfect binary Golay code (23 bits, covering
-radius 3) on bits 0-22 times the same code on bits 23-45: 2^24 anchors. Each
-fingerprint has one anchor of its own (both halves within the radius) and is
-replicated to each anchor it could reach by two flips, so within radius plus
-threshold: about 61 rows, never more than 100 or so. If x and y link, y is at
-x's own anchor, where they are compared. Only fingerprints that differ are
-replicated, so exact copies cost nothing.
+Anchors: a covering code on all 64 bits, the product of the perfect binary Golay
+code (bits 0-22, covering radius 3) and all words (bits 23-63, radius 0). Where two
+fingerprints differ in two bits, a value between them differs in one from each;
+that value has an anchor within the radius, so both are within radius plus half the
+threshold of it, on the part where they leave the value. Each fingerprint is
+therefore replicated to its own anchor, the Golay codewords at distance 4 with its
+own word, and its own codeword with each of the 41 words one bit away: about 46
+rows. Fingerprints that meet at an anchor are compared. No anchor can be met by
+more than some 95,000 different fingerprints, however many documents there are,
+and only fingerprints that differ are replicated, so exact copies cost nothing.
 
 Defined cases: null, empty or blank text has fingerprint zero and links like any
-other; one or two words make one shingle; repeated document ids keep their rows;
-other columns are ignored; no rows give no rows.
+other; one or two words make one shingle; repeated and null document ids keep their
+rows, of which one, the first of the smallest id, stays of each component (kept); a
+component of null ids alone has a null id; other columns are ignored; no rows give
+no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut, table, utf8
+from .common import ROW, cut, keyed, table, utf8
 from .shingles import node, similar
 
 SEED = 42
@@ -38,9 +43,10 @@ THRESHOLD = 2
 RADIUS = 3
 BITS = 23
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
-CROWDED = 4096  # rows at an anchor from which its fingerprints take the midpoint way
-MAX_CROWDED = 65_536  # anchors that may do so: a bound for what the driver holds
-PAIRS_AT_ONCE = 1 << 21
+WORD_BITS = 64 - BITS
+ALL_PAIRS = 512  # fingerprints at an anchor up to which all their pairs are compared, else those one bit from one value
+HOT = 1 << 16  # rows of one fingerprint from which they meet its component by broadcast: at most one in HOT rows
+NO_ID = 2**63 - 1
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE_SHIFT = (np.arange(8) * 256).astype(np.int64)
@@ -78,10 +84,10 @@ def _syndromes(values: np.ndarray) -> np.ndarray:
 
 
 def _error_lists() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For 0, 1 and 2 flips beyond the radius: offsets and counts by syndrome, and the error patterns."""
-    by_weight = [np.array([sum(1 << b for b in c) for c in combinations(range(BITS), w)]) for w in range(6)]
+    """For distances within the radius and one beyond: offsets and counts by syndrome, and the error patterns."""
+    by_weight = [np.array([sum(1 << b for b in c) for c in combinations(range(BITS), w)]) for w in range(RADIUS + 2)]
     out = []
-    for patterns in (np.concatenate(by_weight[:4]), by_weight[4], by_weight[5]):
+    for patterns in (np.concatenate(by_weight[: RADIUS + 1]), by_weight[RADIUS + 1]):
         s = _syndromes(patterns)
         order = np.argsort(s, kind="stable")
         counts = np.bincount(s, minlength=2048)
@@ -92,87 +98,68 @@ def _error_lists() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 _ERRORS: list | None = None
 
 
-def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of the fingerprint, anchor, whether it is the fingerprint's own) for each replica."""
+def anchors(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of the fingerprint, anchor) for each replica; an anchor is a codeword's 12 data bits before a word's 41."""
     global _ERRORS
     if _ERRORS is None:
         _ERRORS = _error_lists()
     bits = fps.view(np.uint64)
-    mask = np.uint64((1 << BITS) - 1)
-    one = (bits & mask).astype(np.int64)
-    two = (bits >> np.uint64(BITS) & mask).astype(np.int64)
-    s1, s2 = _syndromes(one), _syndromes(two)
-    rows, found, own = [], [], []
-    for i in range(THRESHOLD + 1):
-        for j in range(THRESHOLD + 1 - i):
-            off1, n1, e1 = _ERRORS[i]
-            off2, n2, e2 = _ERRORS[j]
-            c1, c2 = n1[s1], n2[s2]
-            reps = c1 * c2
-            row = np.repeat(np.arange(len(fps)), reps)
-            k = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-            w1 = one[row] ^ e1[off1[s1[row]] + k // c2[row]]
-            w2 = two[row] ^ e2[off2[s2[row]] + k % c2[row]]
-            rows.append(row)
-            found.append((w1 >> 11) << 12 | w2 >> 11)
-            own.append(np.full(len(row), i + j == 0))
-    return np.concatenate(rows), np.concatenate(found).astype(np.int32), np.concatenate(own)
-
-
-def _chunks(batches: Iterator[pa.RecordBatch], column: str, most: int = 16_384) -> Iterator[np.ndarray]:
+    one = (bits & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    word = (bits >> np.uint64(BITS)).astype(np.int64)
+    syndrome = _syndromes(one)
+    (start, _, near), (start_far, counts, far) = _ERRORS
+    own = (one ^ near[start[syndrome]]) >> 11
+    every = np.arange(len(fps))
+    flipped = (word[:, None] ^ (1 << np.arange(WORD_BITS))).ravel()
+    reps = counts[syndrome]
+    row = np.repeat(every, reps)
+    k = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    beyond = (one[row] ^ far[start_far[syndrome[row]] + k]) >> 11
+    code = np.concatenate([own, np.repeat(own, WORD_BITS), beyond])
+    return np.concatenate([every, np.repeat(every, WORD_BITS), row]), code << WORD_BITS | np.concatenate([word, flipped, word[row]])
+
+
+def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = batch.column(column).to_numpy(zero_copy_only=False)
-        for at in range(0, len(values), most):
-            yield values[at : at + most]
-
-
-def _count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often a task meets an anchor, if more than once."""
-    for fps in _chunks(batches, "fp", 65_536):
-        found, n = np.unique(anchors(fps)[1], return_counts=True)
-        yield pa.RecordBatch.from_pydict({"anchor": found[n > 1], "n": n[n > 1].astype(np.int64)})
-
-
-def _replicas(crowded):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fps in _chunks(batches, "fp"):
-            row, anchor, own = anchors(fps)
-            if len(crowded.value):
-                open_ = ~np.isin(anchor, crowded.value)
-                row, anchor, own = row[open_], anchor[open_], own[open_]
-            yield pa.RecordBatch.from_pydict({"anchor": anchor, "own": own, "fp": fps[row]})
-
-    return run
-
-
-def _crowded_only(crowded):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fps in _chunks(batches, "fp"):
-            row, anchor, _ = anchors(fps)
-            yield pa.RecordBatch.from_pydict({"fp": fps[np.unique(row[np.isin(anchor, crowded.value)])]})
-
-    return run
-
-
-def _links_of(keys: np.ndarray, own: np.ndarray, fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Linked pairs among rows sorted by anchor, own rows first; each pair has an own row."""
-    ends = np.searchsorted(keys, keys, side="right")
-    at = np.flatnonzero(own)
-    reps = ends[at] - at - 1
-    at, reps = at[reps > 0], reps[reps > 0]
-    total = np.cumsum(reps)
-    lo = 0
-    while lo < len(at):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS_AT_ONCE, side="right")))
-        left = np.repeat(at[lo:hi], reps[lo:hi])
-        first = np.cumsum(reps[lo:hi]) - reps[lo:hi]
-        right = left + 1 + np.arange(len(left)) - np.repeat(first, reps[lo:hi])
-        near = np.bitwise_count(fps[left].view(np.uint64) ^ fps[right].view(np.uint64)) <= THRESHOLD
-        yield left[near], right[near]
-        lo = hi
+        fps = batch.column("fp").to_numpy(zero_copy_only=False)
+        for at in range(0, len(fps), 16_384):
+            part = fps[at : at + 16_384]
+            row, anchor = anchors(part)
+            yield pa.RecordBatch.from_pydict({"anchor": anchor, "fp": part[row]})
 
 
-def _forest(keys: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
+def _linked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs within two bits of each other that connect what all such pairs connect. fps: all different."""
+    if len(fps) <= ALL_PAIRS:
+        left, right = np.triu_indices(len(fps), 1)
+        near = np.bitwise_count(fps[left].view(np.uint64) ^ fps[right].view(np.uint64)) <= THRESHOLD
+        return left[near], right[near]
+    flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
+    between = (fps.view(np.uint64)[:, None] ^ flips[None, :]).ravel()
+    order = np.argsort(between, kind="stable")
+    same = np.flatnonzero(between[order[1:]] == between[order[:-1]])
+    return order[same] // 65, order[same + 1] // 65
+
+
+def _links_of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs among rows sorted by anchor, within each anchor."""
+    bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    sizes = np.diff(bounds)
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for size in range(2, min(16, sizes.max(initial=0)) + 1):
+        first = bounds[:-1][sizes == size]
+        for i, j in combinations(range(size), 2):
+            near = np.bitwise_count(fps[first + i].view(np.uint64) ^ fps[first + j].view(np.uint64)) <= THRESHOLD
+            left.append(first[near] + i)
+            right.append(first[near] + j)
+    for at in np.flatnonzero(sizes > 16):
+        a, b = _linked(fps[bounds[at] : bounds[at + 1]])
+        left.append(a + bounds[at])
+        right.append(b + bounds[at])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _forest(fps: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.RecordBatch:
     """The pairs' connected parts as stars: each member with the part's smallest."""
     label = np.arange(len(fps))
     while True:
@@ -189,56 +176,36 @@ def _forest(keys: np.ndarray, fps: np.ndarray, left: np.ndarray, right: np.ndarr
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares within each anchor; rows come sorted by anchor, own rows first. Whole anchors at a time."""
-    held: list[np.ndarray] = [np.empty(0, np.int32), np.empty(0, bool), np.empty(0, np.int64)]
+    """Compares within each anchor; rows come sorted by anchor. Whole anchors at a time."""
+    held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64)]
 
-    def done(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        pairs = list(_links_of(*part))
-        if pairs and any(len(x[0]) for x in pairs):
-            yield _forest(part[0], part[2], np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs]))
+    def done(keys: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        left, right = _links_of(keys, fps)
+        if len(left):
+            yield _forest(fps, left, right)
 
     for batch in batches:
-        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "own", "fp")]
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("anchor", "fp")]
         held = [np.concatenate(x) for x in zip(held, new)]
         if len(held[0]) < 100_000:
             continue
         whole = int(np.searchsorted(held[0], held[0][-1], side="left"))
-        yield from done([x[:whole] for x in held])
+        yield from done(*[x[:whole] for x in held])
         held = [x[whole:] for x in held]
-    yield from done(held)
+    yield from done(*held)
 
 
-def links(fps: DataFrame, crowded_at: int = CROWDED) -> DataFrame:
-    """(u, v), u > v as signed longs: pairs within two bits that connect just what all such pairs connect."""
-    sc = fps.sparkSession.sparkContext
-    counts = fps.mapInArrow(_count_anchors, "anchor int, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    full = counts.filter(F.col("n") > crowded_at).orderBy(F.desc("n"), "anchor").limit(MAX_CROWDED)
-    crowded = sc.broadcast(np.array([r.anchor for r in full.select("anchor").collect()], np.int32))
-    found = (
-        fps.mapInArrow(_replicas(crowded), "anchor int, own boolean, fp long")
+def links(fps: DataFrame) -> DataFrame:
+    """(u, v), u > v as signed longs: pairs within two bits that connect just what all such pairs connect. fps: different values of fp."""
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        fps.repartition(tasks, "fp")
+        .mapInArrow(_replicas, "anchor long, fp long")
         .repartition("anchor")
-        .sortWithinPartitions("anchor", F.desc("own"))
+        .sortWithinPartitions("anchor")
         .mapInArrow(_compare, "u long, v long")
+        .distinct()
     )
-    if len(crowded.value):
-        found = found.unionByName(_midpoint_links(fps.mapInArrow(_crowded_only(crowded), "fp long")))
-    return found.distinct()
-
-
-def _midpoint_links(fps: DataFrame) -> DataFrame:
-    """Two fingerprints are within two bits just when some value is within one bit of both.
-
-    At most 65 different fingerprints meet at such a value, whatever the crowd.
-    """
-    near = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
-    met = (
-        fps.select("fp", F.explode(near).alias("z"))
-        .groupBy("z")
-        .agg(F.collect_list("fp").alias("fps"))
-        .filter(F.size("fps") > 1)
-        .select(F.array_min("fps").alias("v"), F.explode("fps").alias("u"))
-    )
-    return met.filter("u <> v").select("u", "v")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -257,26 +224,38 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded_at: int = CROWDED, words: int | None = None, similarity: float = 0.8) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for each row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) and kept for each row of docs, and its place (ROW).
 
     With `words`, texts whose shingles of so many words have this Jaccard similarity or more link as well.
     """
+    return components_of(keyed(docs), id_col, text_col, words, similarity)
+
+
+def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int | None = None, similarity: float = 0.8) -> DataFrame:
+    """As near_duplicates, for docs with the columns ROW."""
     text = utf8(F.col(text_col))
-    prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_udf(text).alias("fp"), *([node(text).alias("node")] if words else [])))
-    fps = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    edges = links(fps.select("fp"), crowded_at)
+    own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    prints = cut(docs.select(own_id.alias("id"), *ROW, fingerprint_udf(text).alias("fp"), *([node(text).alias("node")] if words else [])))
+    fps = cut(prints.groupBy("fp").agg(F.min(F.struct("id", *ROW)).alias("first"), F.count(F.lit(1)).alias("n")))
+    edges = links(fps.select("fp"))
     if words:
         found = similar(docs.select(node(text).alias("node"), text.alias("text")), words, similarity)
         of = prints.select("node", "fp").distinct()
         ends = found.join(of.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
         edges = edges.unionByName(ends.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))).distinct()
-    roots = cut(components(edges))
-    linked = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
-    lows = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = linked.select("fp", "root").join(lows, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    roots = components(edges)
+    linked = fps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("v", "fp").alias("root"))
+    lows = linked.groupBy("root").agg(F.min("first").alias("keep"))
+    named = cut(linked.select("fp", "n", "root").join(lows, "root").select("fp", "n", "keep"))
+    # Rows of very common fingerprints meet theirs by broadcast, the others by shuffle.
+    hot = named.filter(F.col("n") >= HOT).select("fp", F.col("keep").alias("hot_keep"))
+    near = prints.join(F.broadcast(hot), "fp", "left")
+    rest = near.filter("hot_keep IS NULL").drop("hot_keep").join(named.filter(F.col("n") < HOT).select("fp", "keep"), "fp")
+    every = near.filter("hot_keep IS NOT NULL").withColumnRenamed("hot_keep", "keep").select(*rest.columns).unionByName(rest)
+    kept = F.struct("id", *ROW) == F.col("keep")
+    return every.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("keep.id", F.lit(NO_ID)).alias("component_id"), kept.alias("kept"), *ROW)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop(*ROW)
