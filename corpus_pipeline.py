@@ -6,6 +6,14 @@ near dedup: of each component the one with the smallest doc_id stays; links are
 SimHash links and a Jaccard similarity of 0.8 or more on five-word shingles.
 mixing: a document comes as often as its fitted rate says.
 BPE: each document's ids and their decoding, as digests.
+
+Defined cases, for every stage: no rows give no rows; other columns stay, whatever
+their names, but for the last stage, which returns digests. Null, empty or
+letterless text has no language and goes; in exact dedup null counts as empty. Rows
+are told apart by their place in the table, so null and repeated ids keep the
+meaning of rows: of equal or linked texts just one row stays, the first of the
+smallest id, nulls last. Mixing draws by the id, so rows of one id come equally
+often.
 """
 
 from __future__ import annotations
@@ -13,10 +21,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from reckoner.llm import bpe, exact, langid, mixing, simhash
-from reckoner.llm.common import shared_dir, table
+from reckoner.llm.common import ROW, keyed, shared_dir, table
 
 NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 
@@ -26,18 +33,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter("__language.accepted").select(*docs.columns)
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among kept."""
-    ids = kept.select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_id"]), "left_semi")
+def _kept(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs, which have their places, that found keeps."""
+    return docs.join(found.filter("kept").select(*ROW), ROW, "left_semi").drop(*ROW)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, exact.exact_groups(docs).filter("kept"))
+    docs = keyed(docs)
+    return _kept(docs, exact.groups_of(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, simhash.near_duplicates(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))))
+    docs = keyed(docs)
+    return _kept(docs, simhash.components_of(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

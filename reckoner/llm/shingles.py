@@ -1,13 +1,21 @@
 """Near-duplicates by the Jaccard similarity of their word shingles.
 
 A text is the set of its shingles of `words` words, lower case, as XXH64 values
-(seed 42). Two texts of similarity t or more share one of their first
-n - ceil(t * n) + 1 values in the order of the hash, so candidates are texts that
-meet at such a value. Of a candidate pair first sketches are compared, which cannot
-make two sets seem further apart than they are, and then, exactly, all shingles. Where up to CROWD texts meet at a value, all their pairs are candidates.
-At a larger meeting a text is paired with its NEXT successors by size and with one
-of CENTRES of the meeting, so that the work stays in proportion to the rows; texts
-of a large group are to be connected by these, not pair by pair.
+(seed 42). In any order of all values, two texts of similarity t or more share one
+of their first n - ceil(t * n) + 1, so candidates are texts that meet at such a
+value. The order is that of the hash, but values at which more than CROWD texts
+meet in it come last: a passage that many texts hold then brings together only
+those that consist of such passages. Of a candidate pair first sketches are
+compared, which cannot make two sets seem further apart than they are, and then,
+exactly, all shingles.
+
+Where up to CROWD texts meet at a value, all their pairs are candidates. At a
+larger meeting a text is at first paired with its NEXT successors by size and with
+one of CENTRES of the meeting, which connects large groups of copies. Then the
+rest: meetings that still hold texts of more than one component are cut into cells
+of two blocks, and in each cell the pairs of different components are candidates as
+well. So the pairs found connect just what all pairs of that similarity connect;
+up to CROWD they are all of them.
 
 Defined cases: a text of fewer words is one shingle; null, empty or blank text has
 none and no links; equal texts are one text; no rows give no rows.
@@ -28,8 +36,10 @@ from .common import cut
 
 SEED = 42
 CROWD, NEXT, CENTRES = 32, 4, 4
+CELL = 1024  # rows of a block of a crowded meeting
 HELD = 100_000
 MARKS = 1 << 24  # bits: a bound for what the driver holds
+COMMON, COMMON_BITS = 1 << 20, 1 << 25  # values the driver collects at most to put last, and bits they are broadcast as
 
 
 def node(text: Column) -> Column:
@@ -52,14 +62,52 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     return np.unique(np.array([digest(norm[a:b], SEED) for a, b in zip(starts, ends)], np.uint64).view(np.int64))
 
 
-def _firsts(words: int, similarity: float):
+def _in_order(own: np.ndarray, common: np.ndarray | None) -> np.ndarray:
+    """Ascending values in the order of all values: those marked as common last."""
+    if common is None or not len(own):
+        return own
+    at = own.view(np.uint64) % np.uint64(COMMON_BITS)
+    last = common[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+    return np.concatenate([own[last == 0], own[last == 1]])
+
+
+def _first(n: int, similarity: float) -> int:
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _first_keys(words: int, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"key": np.concatenate([np.empty(0, np.int64), *(x[: _first(len(x), similarity)] for x in sets)])})
+
+    return run
+
+
+def common_values(texts: DataFrame, words: int, similarity: float):
+    """A broadcast bit mask of values at which more than CROWD texts meet: the commonest, whole classes of count, COMMON at most."""
+    counts = texts.mapInArrow(_first_keys(words, similarity), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD)
+    counts = cut(counts.withColumn("size", F.floor(F.log2("n") * 4).cast("int")))
+    least, held = 1 << 20, 0
+    for row in sorted(counts.groupBy("size").count().collect(), key=lambda r: -r["size"]):
+        held += row["count"]
+        if held > COMMON:
+            break
+        least = row["size"]
+    keys = counts.filter(F.col("size") >= least).select("key").toArrow().column("key").to_numpy().astype(np.int64)
+    marked = np.zeros(COMMON_BITS, bool)
+    marked[(keys.view(np.uint64) % np.uint64(COMMON_BITS)).astype(np.int64)] = True
+    return texts.sparkSession.sparkContext.broadcast(np.packbits(marked, bitorder="little"))
+
+
+def _firsts(words: int, similarity: float, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, nodes, places, sizes = [], [], [], []
             for name, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-                own = shingles(text, words)
+                own = _in_order(shingles(text, words), common.value)
                 n = len(own)
-                first = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+                first = _first(n, similarity)
                 keys.append(own[:first])
                 nodes.append(np.full(first, name, np.int64))
                 places.append(np.arange(first, dtype=np.int32))
@@ -70,6 +118,13 @@ def _firsts(words: int, similarity: float):
     return run
 
 
+def _possible(similarity: float, place: tuple[np.ndarray, np.ndarray], n: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether texts that meet at these places can share as many values as the similarity takes."""
+    (pa_, pb), (na, nb) = place, n
+    least = similarity / (1 + similarity) * (na.astype(np.int64) + nb)
+    return np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= least - 1e-9
+
+
 def _pairs_of(similarity: float, key: np.ndarray, node: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Candidate pairs among rows sorted by key, n and node; whole meetings."""
     begin = np.searchsorted(key, key, side="left")
@@ -85,9 +140,7 @@ def _pairs_of(similarity: float, key: np.ndarray, node: np.ndarray, place: np.nd
     at = np.flatnonzero(size > CROWD)
     found.append((begin[at] + (key[at].view(np.uint64) % np.uint64(CENTRES)).astype(np.int64) * (size[at] // CENTRES), at))
     a, b = (np.concatenate(x) for x in zip(*found))
-    least = similarity / (1 + similarity) * (n[a].astype(np.int64) + n[b])
-    most = np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b])
-    open_ = (most >= least - 1e-9) & (node[a] != node[b])
+    open_ = _possible(similarity, (place[a], place[b]), (n[a], n[b])) & (node[a] != node[b])
     low, high = np.minimum(node[a[open_]], node[b[open_]]), np.maximum(node[a[open_]], node[b[open_]])
     both = np.unique(np.stack([low, high]), axis=1)
     return both[0], both[1]
@@ -170,22 +223,32 @@ def _sets(words: int, marks):
     return run
 
 
-def similar(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b), a < b: nodes of texts whose shingles have this similarity or more. texts: node, text as bytes."""
-    met = (
-        texts.mapInArrow(_firsts(words, similarity), "key long, node long, place int, n int")
-        .repartition("key")
-        .sortWithinPartitions("key", "n", "node")
-        .mapInArrow(_meet(similarity), "a long, b long")
-    )
-    pairs = cut(met.distinct())
-    odd = cut(texts.mapInArrow(_sketches(words), "node long, n int, odd binary").dropDuplicates(["node"]))
-    close = (
-        pairs.join(odd.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("odd").alias("x")), "a")
-        .join(odd.select(F.col("node").alias("b"), "n", F.col("odd").alias("y")), "b")
-        .mapInArrow(_close(similarity), "a long, b long")
-    )
-    close = cut(close)
+def _cells(similarity: float):
+    """Candidates among the rows of one cell: pairs of different components whose sketches leave the similarity possible."""
+    far = (1 - similarity) / (1 + similarity)
+
+    def run(key, rows):
+        import pandas as pd
+
+        rows = rows.drop_duplicates("node")
+        block, comp, names, place, n = (rows[c].to_numpy() for c in ("block", "comp", "node", "place", "n"))
+        odd = rows["odd"].to_numpy()
+        i = np.flatnonzero(block == key[1])
+        j = np.flatnonzero(block == key[2])
+        found: list[tuple[int, int]] = []
+        for a in i:
+            b = j[(j > a) if key[1] == key[2] else slice(None)]
+            b = b[comp[b] != comp[a]]
+            b = b[_possible(similarity, (np.full(len(b), place[a]), place[b]), (np.full(len(b), n[a]), n[b]))]
+            found += [(a, c) for c in b if apart(odd[a], odd[c]) <= far * (int(n[a]) + int(n[c])) + 1e-9]
+        a, b = (np.array(x, int) for x in (zip(*found) if found else ((), ())))
+        return pd.DataFrame({"a": np.minimum(names[a], names[b]), "b": np.maximum(names[a], names[b])})
+
+    return run
+
+
+def _verified(texts: DataFrame, close: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of close that have the similarity."""
     marks = close.select(F.explode(F.array("a", "b")).alias("node")).select(F.pmod("node", F.lit(MARKS)).cast("int").alias("mark")).distinct()
     marked = np.zeros(MARKS, bool)
     marked[marks.toArrow().column("mark").to_numpy()] = True
@@ -194,3 +257,34 @@ def similar(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
     both = close.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
+
+
+def _crowds(met: DataFrame, odd: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) of the meetings of more than CROWD texts that `pairs` leaves in more than one component."""
+    from .simhash import components
+
+    crowded = met.groupBy("key").agg(F.count(F.lit(1)).alias("here")).filter(F.col("here") > CROWD)
+    rows = met.join(crowded, "key")
+    roots = components(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).select(F.col("u").alias("node"), F.col("v").alias("root"))
+    rows = cut(rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root", "here"))
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("here"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("here") / CELL).cast("int").alias("blocks"))
+    split = rows.join(mixed, "key").join(odd.select("node", "odd"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    return cells.groupBy("key", "lo", "hi").applyInPandas(_cells(similarity), "a long, b long").distinct()
+
+
+def similar(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b), a < b: nodes of texts whose shingles have this similarity or more, and which connect just what all such pairs connect. texts: node, text as bytes."""
+    common = common_values(texts, words, similarity)
+    met = cut(texts.mapInArrow(_firsts(words, similarity, common), "key long, node long, place int, n int").repartition("key").sortWithinPartitions("key", "n", "node"))
+    pairs = cut(met.mapInArrow(_meet(similarity), "a long, b long").distinct())
+    odd = cut(texts.mapInArrow(_sketches(words), "node long, n int, odd binary").dropDuplicates(["node"]))
+    close = cut(
+        pairs.join(odd.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("odd").alias("x")), "a")
+        .join(odd.select(F.col("node").alias("b"), "n", F.col("odd").alias("y")), "b")
+        .mapInArrow(_close(similarity), "a long, b long")
+    )
+    first = cut(_verified(texts, close, words, similarity))
+    rest = cut(_crowds(met, odd, first, similarity))
+    return first.unionByName(_verified(texts, rest, words, similarity)).distinct()

@@ -50,12 +50,43 @@ def test_a_crowd_is_connected(spark):
     assert {r.component_id for r in simhash.near_duplicates(docs, words=5).collect()} == {0}
 
 
+def test_no_link_of_a_crowd_is_lost(spark, monkeypatch):
+    """Meetings beyond CROWD: chains of edits, where centres and neighbours by size don't reach all, and passages that all texts hold."""
+    monkeypatch.setattr(S, "CROWD", 6)
+    monkeypatch.setattr(S, "CELL", 8)
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(3000)]
+    passage = list(rng.choice(words, 60))
+    texts = []
+    for _ in range(12):
+        now = [*passage, *rng.choice(words, 60)]
+        for _ in range(8):
+            texts.append(" ".join(now))
+            now = list(now)
+            for at in rng.integers(0, 120, 2):
+                now[at] = str(rng.choice(words))
+    sets = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i, j in combinations(range(len(texts)), 2):
+        if jaccard(sets[i], sets[j]) >= 0.8:
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, words=5).collect()}
+    assert [got[i] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    assert 12 <= len(set(got.values())) < len(texts)
+
+
 def test_stage_drops_edited_copies(spark):
     """No pair of similarity 0.8 stays in the stage's output, where SimHash alone leaves most."""
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(edited())], "doc_id long, text string, lang string, source string, n_chars long")
     left = [grams(r.text) for r in C.near_dedup(spark, docs, "").collect()]
     assert len(left) >= 30 and all(jaccard(a, b) < 0.8 for a, b in combinations(left, 2))
-    alone = [grams(r.text) for r in docs.join(simhash.near_duplicates(docs).filter("component_id = doc_id").select("doc_id"), "doc_id").collect()]
+    alone = [grams(r.text) for r in docs.join(simhash.near_duplicates(docs).filter("kept").select("doc_id"), "doc_id").collect()]
     assert sum(jaccard(a, b) >= 0.8 for a, b in combinations(alone, 2)) > 10
 
 
