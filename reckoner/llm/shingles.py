@@ -10,8 +10,8 @@ compared, which cannot make two sets seem further apart than they are, and then,
 exactly, all shingles.
 
 Where up to CROWD texts meet at a value, all their pairs are candidates. At a
-larger meeting a text is at first paired with its NEXT successors by size and with
-one of CENTRES of the meeting, which connects large groups of copies. Then the
+larger meeting a text is at first paired with its NEXT successors, in an order that
+differs from meeting to meeting, which connects large groups of copies. Then the
 rest: meetings that still hold texts of more than one component are cut into cells
 of two blocks, and in each cell the pairs of different components are candidates as
 well. So the pairs found connect just what all pairs of that similarity connect;
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 SEED = 42
-CROWD, NEXT, CENTRES = 32, 4, 4
+CROWD, NEXT = 32, 4
 CELL = 1024  # rows of a block of a crowded meeting
 HELD = 100_000
 MARKS = 1 << 24  # bits: a bound for what the driver holds
@@ -125,11 +125,10 @@ def _possible(similarity: float, place: tuple[np.ndarray, np.ndarray], n: tuple[
     return np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= least - 1e-9
 
 
-def _pairs_of(similarity: float, key: np.ndarray, node: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs among rows sorted by key, n and node; whole meetings."""
-    begin = np.searchsorted(key, key, side="left")
-    size = np.searchsorted(key, key, side="right") - begin
-    found = []
+def _pairs_of(similarity: float, key: np.ndarray, node: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate pairs among rows sorted by key, and which rows are at meetings of more than CROWD; whole meetings."""
+    size = np.searchsorted(key, key, side="right") - np.searchsorted(key, key, side="left")
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for d in range(1, CROWD):
         at = np.flatnonzero(key[d:] == key[:-d])
         if not len(at):
@@ -137,16 +136,15 @@ def _pairs_of(similarity: float, key: np.ndarray, node: np.ndarray, place: np.nd
         if d > NEXT:
             at = at[size[at] <= CROWD]
         found.append((at, at + d))
-    at = np.flatnonzero(size > CROWD)
-    found.append((begin[at] + (key[at].view(np.uint64) % np.uint64(CENTRES)).astype(np.int64) * (size[at] // CENTRES), at))
     a, b = (np.concatenate(x) for x in zip(*found))
     open_ = _possible(similarity, (place[a], place[b]), (n[a], n[b])) & (node[a] != node[b])
     low, high = np.minimum(node[a[open_]], node[b[open_]]), np.maximum(node[a[open_]], node[b[open_]])
     both = np.unique(np.stack([low, high]), axis=1)
-    return both[0], both[1]
+    return both[0], both[1], size > CROWD
 
 
 def _meet(similarity: float):
+    """Rows of two kinds: candidate pairs (key null), and the rows of crowded meetings (node as a, b null)."""
     columns = ("key", "node", "place", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +152,11 @@ def _meet(similarity: float):
 
         def done(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if len(part[0]) > 1:
-                a, b = _pairs_of(similarity, *part)
-                yield pa.RecordBatch.from_pydict({"a": a, "b": b})
+                a, b, crowded = _pairs_of(similarity, *part)
+                key, node, place, n = (x[crowded] for x in part)
+                none = pa.nulls(len(a))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int32())], names=["a", "b", "key", "place", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(key), pa.array(place), pa.array(n)], names=["a", "b", "key", "place", "n"])
 
         for batch in batches:
             new = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
@@ -223,6 +224,13 @@ def _sets(words: int, marks):
     return run
 
 
+def _folded(odd: np.ndarray, size: int) -> np.ndarray:
+    """Sketches, one a row, as of fewer bits."""
+    while odd.shape[1] > size:
+        odd = odd[:, : odd.shape[1] // 2] ^ odd[:, odd.shape[1] // 2 :]
+    return odd
+
+
 def _cells(similarity: float):
     """Candidates among the rows of one cell: pairs of different components whose sketches leave the similarity possible."""
     far = (1 - similarity) / (1 + similarity)
@@ -232,17 +240,26 @@ def _cells(similarity: float):
 
         rows = rows.drop_duplicates("node")
         block, comp, names, place, n = (rows[c].to_numpy() for c in ("block", "comp", "node", "place", "n"))
-        odd = rows["odd"].to_numpy()
-        i = np.flatnonzero(block == key[1])
-        j = np.flatnonzero(block == key[2])
-        found: list[tuple[int, int]] = []
-        for a in i:
-            b = j[(j > a) if key[1] == key[2] else slice(None)]
-            b = b[comp[b] != comp[a]]
-            b = b[_possible(similarity, (np.full(len(b), place[a]), place[b]), (np.full(len(b), n[a]), n[b]))]
-            found += [(a, c) for c in b if apart(odd[a], odd[c]) <= far * (int(n[a]) + int(n[c])) + 1e-9]
-        a, b = (np.array(x, int) for x in (zip(*found) if found else ((), ())))
-        return pd.DataFrame({"a": np.minimum(names[a], names[b]), "b": np.maximum(names[a], names[b])})
+        sizes = rows["odd"].map(len).to_numpy()
+        i, j = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+        found = [np.empty((2, 0), np.int64)]
+        for x in np.unique(sizes[i]):
+            for y in np.unique(sizes[j]):
+                one, two = i[sizes[i] == x], j[sizes[j] == y]
+                a, b = (at[k] for at, k in zip((one, two), np.nonzero(comp[one][:, None] != comp[two][None, :])))
+                ok = _possible(similarity, (place[a], place[b]), (n[a], n[b])) & ((key[1] != key[2]) | (names[a] < names[b]))
+                a, b = a[ok], b[ok]
+                if not len(a):
+                    continue
+                least = min(x, y)
+                odd_one, odd_two = (_folded(np.frombuffer(b"".join(rows["odd"].iloc[at]), np.uint8).reshape(len(at), -1), least) for at in (one, two))
+                for at in range(0, len(a), 1 << 18):
+                    p, q = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
+                    apart_by = np.bitwise_count(odd_one[np.searchsorted(one, p)] ^ odd_two[np.searchsorted(two, q)]).sum(axis=1)
+                    near = apart_by <= far * (n[p].astype(np.int64) + n[q]) + 1e-9
+                    found.append(np.stack([names[p[near]], names[q[near]]]))
+        a, b = np.concatenate(found, axis=1)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return run
 
@@ -259,26 +276,26 @@ def _verified(texts: DataFrame, close: DataFrame, words: int, similarity: float)
     return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
-def _crowds(met: DataFrame, odd: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b) of the meetings of more than CROWD texts that `pairs` leaves in more than one component."""
+def _crowds(rows: DataFrame, odd: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) of the crowded meetings' rows that `pairs` leaves in more than one component."""
     from .simhash import components
 
-    crowded = met.groupBy("key").agg(F.count(F.lit(1)).alias("here")).filter(F.col("here") > CROWD)
-    rows = met.join(crowded, "key")
     roots = components(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    rows = cut(rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root", "here"))
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("here"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", F.ceil(F.col("here") / CELL).cast("int").alias("blocks"))
+    rows = cut(rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("here"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", F.ceil(F.col("here") / CELL).cast("int").alias("blocks"))
     split = rows.join(mixed, "key").join(odd.select("node", "odd"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    return cells.groupBy("key", "lo", "hi").applyInPandas(_cells(similarity), "a long, b long").distinct()
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cells.repartition(tasks, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(_cells(similarity), "a long, b long").distinct()
 
 
 def similar(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(a, b), a < b: nodes of texts whose shingles have this similarity or more, and which connect just what all such pairs connect. texts: node, text as bytes."""
     common = common_values(texts, words, similarity)
-    met = cut(texts.mapInArrow(_firsts(words, similarity, common), "key long, node long, place int, n int").repartition("key").sortWithinPartitions("key", "n", "node"))
-    pairs = cut(met.mapInArrow(_meet(similarity), "a long, b long").distinct())
+    met = texts.mapInArrow(_firsts(words, similarity, common), "key long, node long, place int, n int").repartition("key")
+    met = cut(met.sortWithinPartitions("key", F.xxhash64("key", "node")).mapInArrow(_meet(similarity), "a long, b long, key long, place int, n int"))
+    pairs = cut(met.filter("key IS NULL").select("a", "b").distinct())
     odd = cut(texts.mapInArrow(_sketches(words), "node long, n int, odd binary").dropDuplicates(["node"]))
     close = cut(
         pairs.join(odd.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("odd").alias("x")), "a")
@@ -286,5 +303,6 @@ def similar(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
         .mapInArrow(_close(similarity), "a long, b long")
     )
     first = cut(_verified(texts, close, words, similarity))
-    rest = cut(_crowds(met, odd, first, similarity))
+    crowded = met.filter("key IS NOT NULL").select("key", F.col("a").alias("node"), "place", "n")
+    rest = cut(_crowds(crowded, odd, first, similarity))
     return first.unionByName(_verified(texts, rest, words, similarity)).distinct()
