@@ -6,6 +6,7 @@ of a match, candidates, confidence. A rung never picks among several fits.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -18,6 +19,7 @@ from pyspark.sql.functions import arrow_udf
 
 from ..functions.rates import widest_deduction
 from ..functions.text import extract_reference, narration_letters, reference_letters
+from ..sources.session import cut
 from .batches import CREDIT
 
 NEAR_DAYS = 1
@@ -25,7 +27,7 @@ MERGE_BEFORE, MERGE_AFTER = 3, 1
 MOST_MEMBERS, MOST_POOL = 3, 66
 FLOOR, MARGIN = 0.78, 0.10
 SCORED_FROM = 0.65  # below FLOOR - MARGIN a score decides nothing and counts as 0
-SHARED_BIGRAMS = 3  # what a reference of twelve that reaches FLOOR has in common with the narration at least
+LONGEST = 40  # references up to this length have a bound of their own
 STRINGS = "array<string>"
 
 
@@ -78,7 +80,7 @@ def subset_sum(credits: DataFrame, batches: DataFrame, rates: DataFrame | None =
     """Two or three payouts of the days around add up to the credit, and nothing else does.
 
     Single fits compete too. A pool of one has nothing to combine; one of more than
-    MOST_POOL is refused, because no combination in it can be called unique.
+    MOST_POOL is refused: a search for rivals of a combination would not end in its budget.
     """
     by_credit = Window.partitionBy(*CREDIT)
     pool = (
@@ -162,28 +164,69 @@ def similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Arra
         yield pa.array([best_window_ratio(a or "", b or "", SCORED_FROM) for a, b in zip(references.to_pylist(), texts.to_pylist())], pa.float64())
 
 
-def _bigrams(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 1)), lambda i: F.substring(text, i, F.lit(2))))
+def least_shared(length: int, ratio: float) -> int:
+    """How many adjacent pairs of a reference of this length stand in a stretch of text, at least, where their ratio reaches `ratio`.
+
+    Of m characters that match in blocks, a reference of l and a stretch of w can have
+    l + w - 2m + 1 blocks at most, and each block has a pair less than characters.
+    """
+    found = []
+    for width in range(1, length + 4):
+        matched = math.ceil(ratio * (length + width) / 2 - 1e-9)
+        if matched <= min(length, width):
+            found.append(max(0, 3 * matched - length - width - 1))
+    return min(found, default=0)
+
+
+def _bound(ratio: Column | float) -> Column:
+    """least_shared of the reference's length, at a ratio given in whole hundredths from FLOOR - MARGIN up where it is a column."""
+    lengths = range(LONGEST + 1)
+    if isinstance(ratio, float):
+        table = F.array(*[F.lit(least_shared(n, ratio)) for n in lengths])
+    else:
+        steps = [F.array(*[F.lit(least_shared(n, k / 100)) for n in lengths]) for k in range(RATIO_FROM, 101)]
+        table = F.get(F.array(*steps), ratio - RATIO_FROM)
+    return F.get(table, F.least(F.length("reference"), F.lit(LONGEST)))
+
+
+RATIO_FROM = round(100 * (FLOOR - MARGIN))
+
+
+def _pairs_in(text: Column) -> Column:
+    """Adjacent pairs of characters, repeats included, and an empty one that every text has."""
+    return F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2))))
+
+
+def _sharing(said: DataFrame, open_: DataFrame, bound: Column, blind: Column) -> DataFrame:
+    """Credits with the references that have as many pairs in common with what is said as the bound takes.
+
+    Where `blind`, a credit meets every reference that needs no pair as well. An equi-join on merchant and pair.
+    """
+    asked = said.filter("length(said) > 1").withColumn("pair", F.explode(F.filter(F.array_distinct(_pairs_in(F.col("said"))), lambda x: (x != "") | blind)))
+    held = open_.filter("length(reference) > 1").withColumn("pair", F.explode(_pairs_in(F.col("reference"))))
+    keys = [*CREDIT, "settlement_id", "said", "reference", *(c for c in said.columns if c not in (*CREDIT, "said"))]
+    met = asked.join(held, ["merchant_id", "pair"]).groupBy(*keys).agg(F.count_if(F.col("pair") != "").alias("shared"))
+    short = said.filter("length(said) = 1").join(open_, "merchant_id").unionByName(said.filter("length(said) > 1").join(open_.filter("length(reference) = 1"), "merchant_id"))
+    return met.filter(F.col("shared") >= bound).select(*keys).unionByName(short.select(*keys))
 
 
 def fuzzy_scores(credits: DataFrame, batches: DataFrame) -> DataFrame:
-    """Best and second score of each credit that some reference resembles.
+    """Best score of each credit that some reference resembles, and the second where it is less than MARGIN behind, else 0.
 
-    Winners are looked for only among references that share SHARED_BIGRAMS adjacent
-    pairs with the narration; credits that have one are then compared with all open
-    references of their merchant, because the second best decides the margin.
+    Winners are looked for among references that share so many adjacent pairs with
+    the narration as a ratio of FLOOR takes; runners-up then among those that share
+    what a ratio of the winner's score less MARGIN takes. Only where that is nothing,
+    a credit meets all open references of its merchant of such a length.
     """
     said = credits.select(*CREDIT, narration_letters(F.col("narration")).alias("said")).filter("said <> ''")
-    open_ = batches.filter("settlement_utr <> ''").select("merchant_id", "settlement_id", reference_letters(F.col("settlement_utr")).alias("reference"))
-    pairs = (
-        said.select(*CREDIT, F.explode(_bigrams(F.col("said"))).alias("bigram"))
-        .join(open_.select("merchant_id", "settlement_id", F.explode(_bigrams(F.col("reference"))).alias("bigram")), ["merchant_id", "bigram"])
-        .groupBy(*CREDIT, "settlement_id")
-        .count()
-        .filter(F.col("count") >= SHARED_BIGRAMS)
-    )
-    likely = pairs.join(said, CREDIT).join(open_, ["merchant_id", "settlement_id"]).filter(similarity("reference", "said") >= FLOOR).select(*CREDIT).distinct()
-    scored = said.join(likely, CREDIT).join(open_, "merchant_id").withColumn("score", similarity("reference", "said"))
+    open_ = batches.filter("settlement_utr <> ''").select("merchant_id", "settlement_id", reference_letters(F.col("settlement_utr")).alias("reference")).filter("reference <> ''")
+    none = min(least_shared(n, FLOOR) for n in range(2, LONGEST + 1))
+    winners = _sharing(said, open_, _bound(FLOOR), F.lit(none == 0)).withColumn("score", similarity("reference", "said")).filter(F.col("score") >= FLOOR)
+    best = cut(winners.groupBy(*CREDIT, "said").agg(F.max("score").alias("best")))
+    asked = best.withColumn("hundredths", F.floor((F.col("best") - MARGIN) * 100 + 1e-9).cast("int"))
+    blind_below = min(k for k in range(RATIO_FROM, 102) if k == 101 or all(least_shared(n, k / 100) for n in range(2, LONGEST + 1)))
+    rivals = _sharing(asked, open_, _bound(F.col("hundredths")), F.col("hundredths") < blind_below)
+    scored = rivals.withColumn("score", similarity("reference", "said")).filter(F.col("best") - F.col("score") < MARGIN)
     order = Window.partitionBy(*CREDIT).orderBy(F.desc("score"), "settlement_id")
     return (
         scored.withColumn("place", F.row_number().over(order))
@@ -219,5 +262,5 @@ def shortfall(credits: DataFrame, batches: DataFrame, rates: DataFrame) -> DataF
 
 
 RUNGS = (exact_reference, amount_and_date, subset_sum, fuzzy_narration, shortfall)
-#: The rungs that SQL can express: all but the similarity of damaged references.
+#: The rungs without the similarity of damaged references.
 PLAIN_RUNGS = (exact_reference, amount_and_date, subset_sum, shortfall)

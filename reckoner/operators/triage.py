@@ -13,6 +13,7 @@ from .proofs import missing_settlements, reported_ids
 #: India's GST slabs.
 SLABS = ("0.05", "0.12", "0.18", "0.28")
 LEAST_FEE, MOST_FEE = "0.0005", "0.01"
+BIN, SLICES = 256, 10  # debits in a bin about; slices of money are a 2^SLICES-th of a power of two wide
 
 
 def recovery_gaps(shortfalls: DataFrame, rows: DataFrame, exact: bool) -> DataFrame:
@@ -31,27 +32,52 @@ def recovery_gaps(shortfalls: DataFrame, rows: DataFrame, exact: bool) -> DataFr
 
 
 def nearest_refunds(shortfalls: DataFrame, rows: DataFrame, most: int = 12) -> DataFrame:
-    """The refunds and adjustments outside a shortfall's payouts that come nearest to it: at most `most` on each side of it are looked at.
+    """The `most` refunds and adjustments outside a shortfall's payouts that come nearest to it, equals by id.
 
-    A union of shortfalls and debits in one order by money; each shortfall takes
-    the neighbours below and above it from a frame of rows, and the nearest of those.
-    The frame leaves room for twice as many rows that do not count.
+    Debits are cut into bins of about BIN rows by merchant and money, and each
+    shortfall meets the bins around it, twice as many in each round, until `most` of
+    what it met is nearer than anything beyond, or nothing is left. So neither a
+    merchant nor a frame bounds what it sees, and no task holds more than bins.
     """
-    asks = shortfalls.select("merchant_id", F.abs("residual").alias("money"), F.lit(1).alias("ask"), "credit_id", "settlement_ids", F.lit(None).cast("string").alias("entity_id"), F.lit(None).cast("string").alias("settlement_id"))
-    debits = rows.filter("type IN ('refund', 'adjustment')").select("merchant_id", F.col("debit").alias("money"), F.lit(0).alias("ask"), F.lit(None).cast("string").alias("credit_id"), F.lit(None).cast("array<string>").alias("settlement_ids"), "entity_id", "settlement_id")
-    both = asks.unionByName(debits)
-    item = F.when(F.col("ask") == 0, F.struct("money", "entity_id", "settlement_id"))
-    frame = 3 * most
-    order = Window.partitionBy("merchant_id").orderBy("money", "ask", "entity_id", "credit_id")
-    near = F.collect_list(item).over(order.rowsBetween(-frame, frame))
-    rest = both.withColumn("near", near).filter("ask = 1").select(*CREDIT, "settlement_ids", F.col("money").alias("short"), F.explode("near").alias("r"))
-    rest = rest.filter("r.settlement_id IS NULL OR NOT array_contains(settlement_ids, r.settlement_id)")
+    from ..sources.session import cut
+
+    debits = rows.filter("type IN ('refund', 'adjustment')").select("merchant_id", F.col("debit").alias("money"), "entity_id", "settlement_id")
+    bounds = Window.partitionBy("merchant_id").orderBy("slice")
+    # Slices of 2^k paise around each power of two: their counts, then bins of whole slices.
+    size = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col("money"), F.lit(1)))) - SLICES)
+    debits = debits.withColumn("slice", F.expr(f"shiftright(money, cast(greatest(0, floor(log2(greatest(money, 1))) - {SLICES}) as int))") + size.cast("long") * (1 << (SLICES + 1)))
+    slices = debits.groupBy("merchant_id", "slice").agg(F.count(F.lit(1)).alias("n"), F.min("money").alias("low"), F.max("money").alias("high"))
+    upto = F.sum("n").over(bounds.rowsBetween(Window.unboundedPreceding, -1))
+    bins = slices.withColumn("bin", F.floor(F.coalesce(upto, F.lit(0)) / BIN))
+    binned = cut(debits.join(bins.select("merchant_id", "slice", "bin"), ["merchant_id", "slice"]).select("merchant_id", "bin", "money", "entity_id", "settlement_id"))
+    spans = cut(bins.groupBy("merchant_id", "bin").agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumn("no", F.row_number().over(Window.partitionBy("merchant_id").orderBy("bin"))))
+    asks = shortfalls.select(*CREDIT, "settlement_ids", F.abs("residual").alias("short"))
+    # The last bin that begins at or below the shortfall: bins and shortfalls of a merchant in one order by money.
+    begins = spans.select("merchant_id", F.lit(None).cast("string").alias("credit_id"), F.lit(None).cast("array<string>").alias("settlement_ids"), F.col("low").alias("short"), "no")
+    both = begins.unionByName(asks.withColumn("no", F.lit(None).cast("int")))
+    upto_here = Window.partitionBy("merchant_id").orderBy("short", F.col("no").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    home = both.withColumn("at", F.coalesce(F.max("no").over(upto_here), F.lit(1))).filter("credit_id IS NOT NULL").drop("no")
+    left, reach, found = cut(home.join(spans.groupBy("merchant_id").agg(F.max("no").alias("last")), "merchant_id")), 1, None
     place = Window.partitionBy(*CREDIT).orderBy("away", "entity_id")
-    return (
-        rest.select(*CREDIT, "short", F.col("r.entity_id").alias("entity_id"), F.col("r.money").alias("debit"), F.abs(F.col("r.money") - F.col("short")).alias("away"))
-        .withColumn("place", F.row_number().over(place))
-        .filter(F.col("place") <= most)
-    )
+    while True:
+        near = left.withColumn("no", F.explode(F.sequence(F.greatest(F.lit(1), F.col("at") - reach), F.least(F.col("last"), F.col("at") + reach)))).join(spans, ["merchant_id", "no"])
+        fits = near.join(binned, ["merchant_id", "bin"]).filter("settlement_id IS NULL OR NOT array_contains(settlement_ids, settlement_id)").withColumn("away", F.abs(F.col("money") - F.col("short")))
+        best = cut(fits.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most).select(*CREDIT, "short", "entity_id", F.col("money").alias("debit"), "away", "place"))
+        # What lies beyond is at least as far as the edges of what was met.
+        edges = near.groupBy(*CREDIT, "short", "at", "last").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        sure = F.least(F.when(F.col("at") - reach > 1, F.col("short") - F.col("low")).otherwise(F.lit(2**62)), F.when(F.col("at") + reach < F.col("last"), F.col("high") - F.col("short")).otherwise(F.lit(2**62)))
+        whole = (F.col("at") - reach <= 1) & (F.col("at") + reach >= F.col("last"))
+        done = cut(
+            edges.join(best.groupBy(*CREDIT).agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("far")), CREDIT, "left")
+            .filter(whole | ((F.col("n") >= most) & (F.col("far") < sure)))
+            .select(*CREDIT)
+        )
+        part = best.join(done, CREDIT, "left_semi")
+        found = part if found is None else found.unionByName(part)
+        left = cut(left.join(done, CREDIT, "left_anti"))
+        if not left.take(1):
+            return found
+        reach *= 2
 
 
 def tax_slab(shortfalls_with_rates: DataFrame) -> Column:

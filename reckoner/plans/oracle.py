@@ -105,10 +105,48 @@ WHERE NOT overdue""",
 }
 
 
+#: The longest stretch that two texts have in common, the first of such in x: 100 for each character, less its place in x.
+_LONGEST = "list_max(list_filter(flatten(list_transform(range(1, length({x}) + 1), lambda k: list_transform(range(0, length({x}) - k + 1), lambda i: CASE WHEN contains({y}, substr({x}, CAST(i + 1 AS INTEGER), CAST(k AS INTEGER))) THEN k * 100 - i END))), lambda v: v IS NOT NULL))"
+
+
+def _similar(i: int) -> dict[str, str]:
+    """Attempts by similarity. A ratio: the longest common stretch, then the same on both sides of it, by recursion."""
+    key = lambda x, y: _LONGEST.format(x=x, y=y)
+    return {
+        f"win{i}": f"""
+SELECT merchant_id, credit_id, settlement_id, x, substr(said, CAST(spot AS INTEGER), length(x) + 3) AS y
+FROM (SELECT c.merchant_id, c.credit_id, b.settlement_id, said, regexp_replace(upper(b.settlement_utr), '[^A-Z0-9]', '', 'g') AS x, unnest(range(1, length(said) + 1)) AS spot
+      FROM (SELECT *, {SAID} AS said FROM u{i}) c JOIN a{i} b ON b.merchant_id = c.merchant_id WHERE said <> '' AND b.settlement_utr <> '')
+WHERE x <> ''""",
+        f"ratio{i}": f"""
+SELECT x, y, 2.0::DOUBLE * sum((longest + 99) // 100) / (length(x) + length(y)) AS ratio FROM (
+WITH RECURSIVE part AS (
+SELECT x, y, x AS a, y AS b, {key('x', 'y')} AS longest FROM (SELECT DISTINCT x, y FROM win{i})
+UNION ALL
+SELECT x, y, a, b, {key('a', 'b')} FROM (
+SELECT x, y, CASE WHEN side = 0 THEN substr(a, 1, spot) ELSE substr(a, spot + n + 1) END AS a, CASE WHEN side = 0 THEN substr(b, 1, there) ELSE substr(b, there + n + 1) END AS b
+FROM (SELECT *, CAST(strpos(b, substr(a, spot + 1, n)) - 1 AS INTEGER) AS there FROM (SELECT *, CAST((longest + 99) // 100 AS INTEGER) AS n, CAST((longest + 99) // 100 * 100 - longest AS INTEGER) AS spot FROM part WHERE longest IS NOT NULL)), (VALUES (0), (1)) sides(side))
+WHERE a <> '' AND b <> '')
+SELECT * FROM part) GROUP BY x, y""",
+        f"scored{i}": f"""
+SELECT *, coalesce(lead(score) OVER near, 0.0) AS second, lead(settlement_id) OVER near AS second_id, row_number() OVER near AS place
+FROM (SELECT *, max(score) OVER (PARTITION BY merchant_id, credit_id) AS best
+      FROM (SELECT merchant_id, credit_id, settlement_id, max(ratio) AS score FROM win{i} JOIN ratio{i} USING (x, y) GROUP BY ALL))
+WHERE best >= 0.78::DOUBLE AND best - score < 0.10::DOUBLE
+WINDOW near AS (PARTITION BY merchant_id, credit_id ORDER BY score DESC, settlement_id)""",
+        f"t{i}": f"""
+SELECT u.merchant_id, u.credit_id, u.amount, 'fuzzy_narration' AS strategy, CASE WHEN score IS NULL THEN 'NO_CANDIDATE' WHEN score - second >= 0.10::DOUBLE THEN 'MATCHED' ELSE 'AMBIGUOUS' END AS verdict,
+       CASE WHEN score - second >= 0.10::DOUBLE THEN [settlement_id] ELSE [] END AS ids,
+       CASE WHEN score IS NULL THEN [] WHEN score - second >= 0.10::DOUBLE THEN [settlement_id] ELSE list_filter([settlement_id, second_id], lambda v: v IS NOT NULL) END AS candidates,
+       CASE WHEN score - second >= 0.10::DOUBLE THEN least(0.70::DOUBLE, 0.40::DOUBLE + 0.35::DOUBLE * score) ELSE 0.0::DOUBLE END AS confidence
+FROM u{i} u LEFT JOIN (SELECT * FROM scored{i} WHERE place = 1) USING (merchant_id, credit_id)""",
+    }
+
+
 def _rung(i: int, name: str) -> dict[str, str]:
     """The expressions of one rung over credits u{i} and batches a{i}."""
     near = lambda before, after: f"FROM u{i} c JOIN a{i} b ON b.merchant_id = c.merchant_id AND b.settled_on BETWEEN c.value_date - {before} AND c.value_date + {after}"
-    out = {}
+    out, fits = {}, ""
     if name == "exact":
         fits = f"SELECT c.{KEY.replace(', ', ', c.')}, [b.settlement_id] AS ids, 1.0::DOUBLE AS sure FROM (SELECT *, coalesce(nullif(utr, ''), {REFERENCE}) AS ref FROM u{i}) c JOIN a{i} b ON b.merchant_id = c.merchant_id AND b.settlement_utr = c.ref"
     elif name == "amount":
@@ -116,7 +154,7 @@ def _rung(i: int, name: str) -> dict[str, str]:
     elif name == "short":
         band = "(greatest(standard, corporate_card, international_card) * (1 + gst) + CASE WHEN tds_applies THEN tds ELSE 0 END)"
         fits = f"SELECT c.merchant_id, c.credit_id, [b.settlement_id] AS ids, 0.35::DOUBLE AS sure {near(1, 1)} JOIN rates r ON r.merchant_id = c.merchant_id WHERE expected_net - amount > allowance AND expected_net - amount <= expected_net * {band}"
-    else:
+    elif name == "subset":
         out[f"pool{i}"] = f"""
 SELECT * FROM (SELECT c.merchant_id, c.credit_id, c.amount, b.settlement_id, b.expected_net AS net, b.allowance,
        row_number() OVER (PARTITION BY c.merchant_id, c.credit_id ORDER BY b.expected_net DESC, b.settlement_id) AS place,
@@ -129,12 +167,20 @@ SELECT p.merchant_id, p.credit_id, [p.settlement_id] AS ids, abs(p.amount - p.ne
 UNION ALL SELECT p.merchant_id, p.credit_id, [p.settlement_id, q.settlement_id], abs(p.amount - p.net - q.net) FROM {two} WHERE abs(p.amount - p.net - q.net) <= p.allowance + q.allowance
 UNION ALL SELECT p.merchant_id, p.credit_id, [p.settlement_id, q.settlement_id, s.settlement_id], abs(p.amount - p.net - q.net - s.net) FROM {three}
 WHERE abs(p.amount - p.net - q.net) > p.allowance + q.allowance AND abs(p.amount - p.net - q.net - s.net) <= p.allowance + q.allowance + s.allowance)"""
+    if name == "fuzzy":
+        return _similar(i) | _after(i)
     strategy = {"exact": "exact_utr", "amount": "amount_date", "subset": "subset_sum", "short": "shortfall"}[name]
     out[f"f{i}"] = fits
     out[f"t{i}"] = f"""
 SELECT u.merchant_id, u.credit_id, u.amount, '{strategy}' AS strategy, CASE WHEN n IS NULL THEN 'NO_CANDIDATE' WHEN n = 1 THEN 'MATCHED' ELSE 'AMBIGUOUS' END AS verdict,
        CASE WHEN n = 1 THEN list_sort(ids) ELSE [] END AS ids, coalesce(every, []) AS candidates, CASE WHEN n = 1 THEN sure ELSE 0.0::DOUBLE END AS confidence
 FROM u{i} u LEFT JOIN (SELECT merchant_id, credit_id, count(*) AS n, any_value(ids) AS ids, list_sort(list_distinct(flatten(list(ids)))) AS every, max(sure) AS sure FROM f{i} GROUP BY merchant_id, credit_id) g USING (merchant_id, credit_id)"""
+    return out | _after(i)
+
+
+def _after(i: int) -> dict[str, str]:
+    """What becomes of a rung's attempts t{i}: the veto, contested payouts, the fold."""
+    out = {}
     out[f"w{i}"] = f"""
 SELECT t.* REPLACE (CASE WHEN broken THEN 'NO_CANDIDATE' ELSE verdict END AS verdict, CASE WHEN broken THEN [] ELSE ids END AS ids, CASE WHEN broken THEN 0.0::DOUBLE ELSE confidence END AS confidence), CASE WHEN broken THEN ids ELSE [] END AS withdrawn
 FROM (SELECT t.*, coalesce(abs(amount - explained) > allowance, false) AS broken FROM t{i} t
@@ -148,8 +194,8 @@ SELECT w.merchant_id, w.credit_id, strategy, CASE WHEN blame IS NULL THEN verdic
        CASE WHEN blame IS NULL THEN candidates ELSE [blame] END AS candidates, CASE WHEN blame IS NULL THEN confidence ELSE 0.0::DOUBLE END AS confidence, withdrawn,
        CASE WHEN blame IS NULL THEN [] ELSE list_filter(rivals, lambda x: x <> w.credit_id) END AS contested
 FROM w{i} w LEFT JOIN (SELECT merchant_id, credit_id, min(settlement_id) AS blame, arg_min(claimants, settlement_id) AS rivals FROM b{i} GROUP BY ALL) USING (merchant_id, credit_id)"""
-    if i == 0:
-        out["o0"] = "SELECT * FROM d0"
+    if i % 10 == 0:
+        out[f"o{i}"] = f"SELECT * FROM d{i}"
     else:
         old = "d.verdict = 'NO_CANDIDATE' AND o.verdict = 'AMBIGUOUS'"
         fields = ", ".join(f"CASE WHEN {old} THEN o.{c} ELSE d.{c} END AS {c}" for c in ("strategy", "verdict", "ids", "candidates", "confidence"))
@@ -160,15 +206,29 @@ FROM d{i} d LEFT JOIN o{i - 1} o USING (merchant_id, credit_id)"""
     return out
 
 
+FULL = ("exact", "amount", "subset", "fuzzy", "short")
 PLAIN = ("exact", "amount", "subset", "short")
-for _i, _name in enumerate(PLAIN):
-    CTES[f"u{_i}"] = "SELECT * FROM bank_credits" if _i == 0 else f"SELECT * FROM bank_credits SEMI JOIN (SELECT * FROM o{_i - 1} WHERE verdict <> 'MATCHED') USING (merchant_id, credit_id)"
-    _gone = " UNION ALL ".join(f"SELECT merchant_id, unnest(ids) AS settlement_id FROM o{j} WHERE verdict = 'MATCHED'" for j in range(_i))
-    CTES[f"a{_i}"] = "SELECT * FROM batches" if _i == 0 else f"SELECT * FROM batches ANTI JOIN ({_gone}) USING (merchant_id, settlement_id)"
-    CTES |= _rung(_i, _name)
-_last = len(PLAIN) - 1
+
+
+def outcome_after(rungs: int, base: int = 0) -> str:
+    """The outcome of every credit after so many rungs of a chain."""
+    last = base + rungs - 1
+    return " UNION ALL ".join([*(f"SELECT * FROM o{i} WHERE verdict = 'MATCHED'" for i in range(base, last)), f"SELECT * FROM o{last}"])
+
+
+def _chain(names: tuple[str, ...], base: int) -> None:
+    """The rungs in order, numbered from base."""
+    for i, name in enumerate(names, base):
+        CTES[f"u{i}"] = "SELECT * FROM bank_credits" if i == base else f"SELECT * FROM bank_credits SEMI JOIN (SELECT * FROM o{i - 1} WHERE verdict <> 'MATCHED') USING (merchant_id, credit_id)"
+        gone = " UNION ALL ".join(f"SELECT merchant_id, unnest(ids) AS settlement_id FROM o{j} WHERE verdict = 'MATCHED'" for j in range(base, i))
+        CTES[f"a{i}"] = "SELECT * FROM batches" if i == base else f"SELECT * FROM batches ANTI JOIN ({gone}) USING (merchant_id, settlement_id)"
+        CTES.update(_rung(i, name))
+
+
+_chain(FULL, 0)
+_chain(PLAIN, 20)
 CTES |= {
-    "outcome": " UNION ALL ".join([*(f"SELECT * FROM o{i} WHERE verdict = 'MATCHED'" for i in range(_last)), f"SELECT * FROM o{_last}"]),
+    "outcome": outcome_after(len(FULL)),
     "claims": "SELECT merchant_id, credit_id, strategy, confidence, ids, true AS matched FROM outcome WHERE verdict = 'MATCHED' UNION ALL SELECT merchant_id, credit_id, strategy, confidence, withdrawn, false FROM outcome WHERE verdict <> 'MATCHED' AND len(withdrawn) > 0",
     "tried": f"""
 SELECT c.merchant_id, c.credit_id, strategy, confidence, list_sort(ids) AS ids, matched, amount, value_date, narration, explained, allowance, amount - explained AS residual, abs(amount - explained) <= allowance AS proved, gross, fee, tax, n_rows, n_payments

@@ -12,7 +12,7 @@ from ..operators import batches as B
 from ..operators import causes, contract, leaks, proofs, rungs, schedule, scoring, triage
 from ..sources.ledger import load
 from ..sources.session import cut
-from .oracle import BAND, DUE, INR, PLATFORM, REFERENCE, SAID, STEM, days_after, days_between, rated, total, with_ctes
+from .oracle import BAND, DUE, INR, PLAIN, PLATFORM, REFERENCE, SAID, STEM, days_after, days_between, outcome_after, rated, total, with_ctes
 from .reconcile import run_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,9 +30,9 @@ def query(sql: str | None = None):
     return register
 
 
-def _plain(spark: SparkSession, d: str):
-    """The run whose rungs SQL can express."""
-    return run_of(spark, d, rungs.PLAIN_RUNGS)
+def _run(spark: SparkSession, d: str):
+    """The run with all rungs."""
+    return run_of(spark, d)
 
 
 def _list(name: str):
@@ -232,49 +232,40 @@ def a12_report_complete_to(spark, d):
 
 
 def _attempt(spark, d, rung):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return rung(run.ledger.credits, run.batches, run.rates).select(*B.CREDIT, "strategy", "verdict", _list("settlement_ids"), _list("candidates"), "confidence")
 
 
-def _attempt_sql(i: int) -> str:
-    """A rung over all credits and all batches, whatever other rungs did."""
-    from .oracle import CTES, PLAIN, _rung
+def _attempt_sql(name: str) -> str:
+    """A rung over all credits and all batches, whatever other rungs did: a chain of its own."""
+    from .oracle import CTES, FULL, _rung
 
-    own = _rung(9, PLAIN[i])
-    for name in ("pool9", "f9", "t9"):
-        CTES.pop(name, None)
-    CTES["u9"], CTES["a9"] = "SELECT * FROM bank_credits", "SELECT * FROM batches"
-    for name in ("pool9", "f9", "t9"):
-        if name in own:
-            CTES[name] = own[name]
-    return with_ctes("SELECT merchant_id, credit_id, strategy, verdict, array_to_string(ids, ',') AS settlement_ids, array_to_string(candidates, ',') AS candidates, confidence FROM t9")
+    i = 90 + FULL.index(name)
+    CTES.update({f"u{i}": "SELECT * FROM bank_credits", f"a{i}": "SELECT * FROM batches"} | _rung(i, name))
+    return with_ctes(f"SELECT merchant_id, credit_id, strategy, verdict, array_to_string(ids, ',') AS settlement_ids, array_to_string(candidates, ',') AS candidates, confidence FROM t{i}")
 
 
-def _rung_query(name: str, rung, i: int):
+def _rung_query(name: str, rung, of: str):
     def f(spark, d):
         return _attempt(spark, d, rung)
 
     f.__name__ = name
     QUERIES[name] = f
-    ORACLE_SQL[name] = _attempt_sql(i)
+    ORACLE_SQL[name] = _attempt_sql(of)
 
 
-_rung_query("j1_exact_reference", rungs.exact_reference, 0)
-_rung_query("j2_amount_and_date", rungs.amount_and_date, 1)
-_rung_query("j3_subset_sum", rungs.subset_sum, 2)
-_rung_query("j5_shortfall", rungs.shortfall, 3)
-
-
-@query()
-def j4_fuzzy_narration(spark, d):
-    return _attempt(spark, d, rungs.fuzzy_narration)
+_rung_query("j1_exact_reference", rungs.exact_reference, "exact")
+_rung_query("j2_amount_and_date", rungs.amount_and_date, "amount")
+_rung_query("j3_subset_sum", rungs.subset_sum, "subset")
+_rung_query("j4_fuzzy_narration", rungs.fuzzy_narration, "fuzzy")
+_rung_query("j5_shortfall", rungs.shortfall, "short")
 
 
 @query("SELECT merchant_id, credit_id, verdict, array_to_string(ids, ',') AS settlement_ids, array_to_string(withdrawn, ',') AS withdrawn_ids FROM w0")
 def j6_proof_veto(spark, d):
     from ..operators.claims import veto
 
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return veto(rungs.exact_reference(run.ledger.credits, run.batches), run.ledger.credits, run.batches).select(*B.CREDIT, "verdict", _list("settlement_ids"), _list("withdrawn_ids"))
 
 
@@ -286,7 +277,7 @@ def j7_contested(spark, d):
     """Claims of the lowest payout each credit fits by amount and day, so that some are contested."""
     from ..operators.claims import demote_contested
 
-    run = _plain(spark, d)
+    run = _run(spark, d)
     fits = rungs.amount_and_date(run.ledger.credits, run.batches).filter("size(candidates) > 0")
     claims = fits.withColumn("verdict", F.lit("MATCHED")).withColumn("settlement_ids", F.slice("candidates", 1, 1)).withColumn("withdrawn_ids", F.array().cast("array<string>"))
     return demote_contested(claims).select(*B.CREDIT, "verdict", _list("contested_by"))
@@ -296,7 +287,7 @@ def j7_contested(spark, d):
 def j8_outcome_fold(spark, d):
     from ..operators import claims as C
 
-    run = _plain(spark, d)
+    run = _run(spark, d)
     credits = run.ledger.credits
     first = C.demote_contested(C.veto(rungs.exact_reference(credits, run.batches), credits, run.batches))
     open_ = credits.join(first.filter("verdict <> 'MATCHED'").select(*B.CREDIT), B.CREDIT, "left_semi")
@@ -305,22 +296,22 @@ def j8_outcome_fold(spark, d):
     return C.fold(first.filter("verdict <> 'MATCHED'"), C.demote_contested(second)).select(*B.CREDIT, "strategy", "verdict", _list("withdrawn_ids"))
 
 
-_OUTCOME = "SELECT merchant_id, credit_id, strategy, verdict, array_to_string(ids, ',') AS settlement_ids, confidence, array_to_string(withdrawn, ',') AS withdrawn_ids, array_to_string(contested, ',') AS contested_by FROM outcome"
+_COLUMNS = "merchant_id, credit_id, strategy, verdict, array_to_string(ids, ',') AS settlement_ids, confidence, array_to_string(withdrawn, ',') AS withdrawn_ids, array_to_string(contested, ',') AS contested_by"
 
 
 def _outcome(run):
     return run.outcome.select(*B.CREDIT, "strategy", "verdict", _list("settlement_ids"), "confidence", _list("withdrawn_ids"), _list("contested_by"))
 
 
-@query()
+@query(f"SELECT {_COLUMNS} FROM outcome")
 def j9_cascade(spark, d):
-    return _outcome(run_of(spark, d))
+    return _outcome(_run(spark, d))
 
 
-@query(_OUTCOME)
+@query(f"SELECT {_COLUMNS} FROM ({outcome_after(len(PLAIN), 20)})")
 def j9_cascade_plain(spark, d):
-    """The cascade without the rung that SQL cannot express."""
-    return _outcome(_plain(spark, d))
+    """The cascade without the similarity of damaged references."""
+    return _outcome(run_of(spark, d, rungs.PLAIN_RUNGS))
 
 
 def _refs(cond: str) -> str:
@@ -357,7 +348,7 @@ _LINES = f"SELECT * FROM (WITH g AS ({_G}) " + " UNION ALL ".join(
 
 
 def _lines(spark, d):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return proofs.proof_lines(run.proofs, run.ledger.credits, run.ledger.rows, run.batches, run.rates)
 
 
@@ -368,12 +359,12 @@ def j10_proof_lines(spark, d):
 
 @query("SELECT merchant_id, credit_id, array_to_string(ids, ',') AS settlement_ids, residual, strategy FROM shorts")
 def j11_shortfalls(spark, d):
-    return _plain(spark, d).shortfalls.select(*B.CREDIT, _list("settlement_ids"), "residual", "strategy")
+    return _run(spark, d).shortfalls.select(*B.CREDIT, _list("settlement_ids"), "residual", "strategy")
 
 
 @query("SELECT merchant_id, settlement_id, CASE WHEN claimed_by IS NULL THEN expected_net ELSE 0 END AS amount, claimed_by, that_day AS batches_that_day FROM missing WHERE NOT found")
 def j12_missing_settlements(spark, d):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return proofs.missing_settlements(run.batches, run.proofs, run.outcome).select("merchant_id", "settlement_id", F.col("amount").cast("long").alias("amount"), "claimed_by", "batches_that_day")
 
 
@@ -385,7 +376,7 @@ def j13_unsettled_payments(spark, d):
 
 @query("SELECT merchant_id, credit_id, 'exact' AS fit, entity, debit, home AS recovered_by FROM refund_exact UNION ALL SELECT merchant_id, credit_id, 'near', entity, debit, home FROM refund_near")
 def j14_recovery_gaps(spark, d):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     out = None
     for fit, exact in (("exact", True), ("near", False)):
         part = triage.recovery_gaps(run.shortfalls, run.ledger.rows, exact).select(*B.CREDIT, F.lit(fit).alias("fit"), "entity", F.col("entity_amount").alias("debit"), "recovered_by")
@@ -395,7 +386,7 @@ def j14_recovery_gaps(spark, d):
 
 @query("SELECT merchant_id, credit_id, CAST(place AS INTEGER) AS place, entity_id, away FROM (SELECT s.merchant_id, s.credit_id, r.entity_id, abs(r.debit - abs(s.residual)) AS away, row_number() OVER (PARTITION BY s.merchant_id, s.credit_id ORDER BY abs(r.debit - abs(s.residual)), r.entity_id) AS place FROM shorts s JOIN settlement_rows r ON r.merchant_id = s.merchant_id AND r.type IN ('refund', 'adjustment') WHERE r.settlement_id IS NULL OR NOT list_contains(s.ids, r.settlement_id)) WHERE place <= 12")
 def j15_nearest_refunds(spark, d):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return triage.nearest_refunds(run.shortfalls, run.ledger.rows).select(*B.CREDIT, "place", "entity_id", "away")
 
 
@@ -410,7 +401,7 @@ def j16_leaks(spark, d):
 def _queue(spark, d, run=None):
     key = (spark.sparkContext.applicationId, d, run is None)
     if key not in _queues:
-        _queues[key] = cut(triage.exceptions(run or _plain(spark, d)))
+        _queues[key] = cut(triage.exceptions(run or _run(spark, d)))
     return _queues[key]
 
 
@@ -419,19 +410,19 @@ _queues: dict = {}
 
 @query("SELECT merchant_id, credit_id, code, entity FROM (SELECT merchant_id, credit_id, code, CASE WHEN code = 'PARTIAL_PAYMENT' THEN entity END AS entity FROM named)")
 def c1_named_shortfalls(spark, d):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return triage.name_shortfalls(run.shortfalls, run.ledger.rows, run.rates).select(*B.CREDIT, "code", F.col("refund.entity").alias("entity"))
 
 
 @query("SELECT merchant_id, credit_id, CAST(slab AS DOUBLE) AS slab FROM named WHERE slab IS NOT NULL")
 def c2_gst_slab(spark, d):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return triage.name_shortfalls(run.shortfalls, run.ledger.rows, run.rates).filter("slab IS NOT NULL").select(*B.CREDIT, F.col("slab").cast("double").alias("slab"))
 
 
 @query("SELECT merchant_id, credit_id, round(share, 6) AS share FROM named WHERE share IS NOT NULL")
 def c3_hidden_fee(spark, d):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return triage.name_shortfalls(run.shortfalls, run.ledger.rows, run.rates).filter("share IS NOT NULL").select(*B.CREDIT, F.round(F.col("share").cast("double"), 6).alias("share"))
 
 
@@ -490,7 +481,7 @@ def c16_causes(spark, d):
 def a13_cash_position(spark, d):
     from ..operators.reports import cash_position
 
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return cash_position(run.ledger.credits, run.proofs, _queue(spark, d))
 
 
@@ -498,7 +489,7 @@ def a13_cash_position(spark, d):
 def a14_run_summary(spark, d):
     from ..operators.reports import run_summary
 
-    return run_summary(_plain(spark, d).proofs, _queue(spark, d))
+    return run_summary(_run(spark, d).proofs, _queue(spark, d))
 
 
 # ------------------------------------------------------------------ windows, sorts, sets
@@ -521,9 +512,9 @@ def w6_running_proof(spark, d):
     return proofs.running_balance(_lines(spark, d)).select(*B.CREDIT, "line_no", "amount", "running")
 
 
-@query()
+@query("SELECT merchant_id, credit_id, settlement_id, score, second FROM scored93 WHERE place = 1")
 def w4_fuzzy_margin(spark, d):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return rungs.fuzzy_scores(run.ledger.credits, run.batches).select(*B.CREDIT, "settlement_id", "score", "second")
 
 
@@ -534,7 +525,7 @@ def u1_reported_ids(spark, d):
 
 @query("SELECT p.merchant_id, p.credit_id, p.ids = coalesce(expected, []) AS same, len(list_filter(p.ids, lambda x: NOT list_contains(coalesce(expected, []), x))) = 0 AS within FROM tried p LEFT JOIN credit_score s USING (merchant_id, credit_id) WHERE p.matched".replace("p.ids = coalesce(expected, [])", "coalesce(p.ids = expected, false)"))
 def u2_set_equality(spark, d):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return scoring.set_relation(run.outcome.filter("verdict = 'MATCHED'"), run.ledger.truth_links).select(*B.CREDIT, "same", "within")
 
 
@@ -597,7 +588,7 @@ def k8_accuracy(spark, d):
 
 
 def _graded(spark, d):
-    ledger, run = load(spark, d), _plain(spark, d)
+    ledger, run = load(spark, d), _run(spark, d)
     return scoring.graded_credits(ledger.truth, ledger.truth_links, run.proofs, run.shortfalls, _queue(spark, d))
 
 
@@ -674,6 +665,6 @@ def e8_curve(spark, d):
 
 @query(f"SELECT merchant_id, count(*) AS claims, count(*) FILTER (WHERE abs(amount - explained) <= allowance) AS proved FROM (SELECT x.merchant_id, x.credit_id, any_value(c.amount) AS amount, {total('pay_credit - debits')} AS explained, {total('b.allowance')} AS allowance FROM truth_links x JOIN credit_truth t ON t.merchant_id = x.merchant_id AND t.credit_id = x.credit_id AND t.matchable JOIN bank_credits c ON c.merchant_id = x.merchant_id AND c.credit_id = x.credit_id JOIN batches b ON b.merchant_id = x.merchant_id AND b.settlement_id = x.settlement_id GROUP BY x.merchant_id, x.credit_id) GROUP BY merchant_id")
 def e9_oracle_ceiling(spark, d):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     claims = scoring.truth_claims(run.ledger.truth, run.ledger.truth_links, run.batches)
     return proofs.prove(claims, run.ledger.credits, run.batches).groupBy("merchant_id").agg(F.count(F.lit(1)).alias("claims"), F.count_if("proved").alias("proved"))

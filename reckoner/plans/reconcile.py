@@ -22,23 +22,24 @@ def cascade(credits: DataFrame, batches: DataFrame, rates: DataFrame, rungs=RUNG
 
 
 def cascade_steps(credits: DataFrame, batches: DataFrame, rates: DataFrame, rungs=RUNGS) -> list[DataFrame]:
-    """The outcome of every credit after each rung: what a cascade of only so many rungs would give."""
+    """The outcome of every credit after each rung: what a cascade of only so many rungs would give.
+
+    A rung is written twice, as attempts and as outcomes; what is open follows from the outcomes.
+    """
     steps = []
     open_credits, open_batches, outcome, done = credits, batches, None, []
     for rung in rungs:
         attempts = cut(rung(open_credits, open_batches, rates))
-        attempts = cut(C.veto(attempts, open_credits, batches))
-        after = cut(C.fold(outcome, C.demote_contested(attempts)))
-        matched = after.filter("verdict = 'MATCHED'")
-        done.append(matched)
+        after = cut(C.fold(outcome, C.demote_contested(C.veto(attempts, open_credits, batches))))
+        done.append(after.filter("verdict = 'MATCHED'"))
         outcome = after.filter("verdict <> 'MATCHED'")
+        matched = done[0]
+        for part in done[1:]:
+            matched = matched.unionByName(part)
         claimed = matched.select("merchant_id", F.explode("settlement_ids").alias("settlement_id"))
-        open_credits = cut(credits.join(outcome.select(*CREDIT), CREDIT, "left_semi"))
-        open_batches = cut(open_batches.join(claimed, ["merchant_id", "settlement_id"], "left_anti"))
-        whole = outcome
-        for part in done:
-            whole = whole.unionByName(part)
-        steps.append(whole)
+        open_credits = credits.join(outcome.select(*CREDIT), CREDIT, "left_semi")
+        open_batches = batches.join(claimed, ["merchant_id", "settlement_id"], "left_anti")
+        steps.append(outcome.unionByName(matched))
     return steps
 
 

@@ -8,7 +8,7 @@ from ..operators import causes, contract, reports
 from ..operators import schedule as S
 from ..sources.ledger import load
 from .oracle import total
-from .queries import _CLUSTERS, _LINES, _PROFILE, _clusters, _lines, _plain, _promised, _queue, query
+from .queries import _CLUSTERS, _LINES, _PROFILE, _clusters, _lines, _promised, _queue, _run, query
 
 _TOP = "SELECT merchant_id, CAST(place AS INTEGER) AS place, label, amount FROM (SELECT merchant_id, subject_id AS label, amount, row_number() OVER (PARTITION BY merchant_id ORDER BY amount DESC, subject_id) AS place FROM queue WHERE {where}) WHERE place <= 12 UNION ALL SELECT merchant_id, 13, '... and ' || (count(*) - 12) || ' more cases', NULL FROM queue WHERE {where} GROUP BY merchant_id HAVING count(*) > 12"
 _SHORT = "code IN ('FEE_DEDUCTION', 'TAX_DEDUCTION', 'PARTIAL_PAYMENT')"
@@ -27,7 +27,7 @@ def q2_refunds(spark, d):
 
 @query(f"SELECT b.merchant_id, b.value_date, count(*) AS credits, {total('b.amount')} AS amount, count(p.credit_id) AS proved FROM bank_credits b LEFT JOIN proofs p USING (merchant_id, credit_id) GROUP BY b.merchant_id, b.value_date")
 def q3_received(spark, d):
-    return reports.received(load(spark, d).credits, _plain(spark, d).proofs)
+    return reports.received(load(spark, d).credits, _run(spark, d).proofs)
 
 
 @query(f"SELECT *, CAST(sum(net) OVER (PARTITION BY merchant_id ORDER BY due) AS BIGINT) AS through FROM (SELECT merchant_id, due, count(*) AS payments, {total('net')} AS net FROM promised WHERE NOT overdue GROUP BY merchant_id, due)")
@@ -95,7 +95,7 @@ _ASKED = "SELECT merchant_id, min(credit_id) AS asked FROM bank_credits GROUP BY
 @query(f"SELECT a.merchant_id, asked, line_no, label, l.amount FROM ({_ASKED}) a JOIN proofs p ON p.merchant_id = a.merchant_id AND (p.credit_id = asked OR list_contains(p.ids, asked)) JOIN ({_LINES}) l ON l.merchant_id = p.merchant_id AND l.credit_id = p.credit_id UNION ALL SELECT a.merchant_id, asked, 0, code, q.amount FROM ({_ASKED}) a JOIN queue q ON q.merchant_id = a.merchant_id AND q.subject_id = asked WHERE NOT EXISTS (SELECT 1 FROM proofs p WHERE p.merchant_id = a.merchant_id AND (p.credit_id = asked OR list_contains(p.ids, asked)))")
 def q14_proof_lookup(spark, d):
     """Of each merchant the first credit and the last settlement are asked about."""
-    run = _plain(spark, d)
+    run = _run(spark, d)
     asked = run.ledger.credits.groupBy("merchant_id").agg(F.min("credit_id").alias("asked")).union(run.batches.groupBy("merchant_id").agg(F.max("settlement_id").alias("asked"))).distinct()
     return reports.lookup(asked, _lines(spark, d), run.proofs, _queue(spark, d))
 
@@ -105,18 +105,18 @@ _LARGEST = "SELECT b.merchant_id, b.credit_id, CAST(place AS INTEGER) AS place,
 
 @query(_LARGEST)
 def q15_largest(spark, d):
-    return reports.largest(load(spark, d).credits, _plain(spark, d).proofs)
+    return reports.largest(load(spark, d).credits, _run(spark, d).proofs)
 
 
 @query("SELECT q.merchant_id, code, subject_id, q.amount, CASE WHEN c.credit_id IS NOT NULL THEN 'credit' WHEN b.settlement_id IS NOT NULL THEN 'settlement' WHEN p.payment_id IS NOT NULL THEN 'payment' ELSE 'unknown' END AS kind, coalesce(c.amount, b.expected_net, p.amount) AS worth, coalesce(c.value_date, b.settled_on, p.captured_on) AS occurred_on FROM queue q LEFT JOIN bank_credits c ON c.merchant_id = q.merchant_id AND c.credit_id = subject_id LEFT JOIN batches b ON b.merchant_id = q.merchant_id AND b.settlement_id = subject_id LEFT JOIN payments p ON p.merchant_id = q.merchant_id AND p.payment_id = subject_id")
 def q16_queue_subjects(spark, d):
-    run = _plain(spark, d)
+    run = _run(spark, d)
     return reports.subjects(_queue(spark, d), run.ledger.credits, run.batches, run.ledger.payments)
 
 
 @query(_LARGEST.replace("WHERE place <= 12", "WHERE place <= 5"))
 def t1_largest_credits(spark, d):
-    return reports.largest(load(spark, d).credits, _plain(spark, d).proofs, 5)
+    return reports.largest(load(spark, d).credits, _run(spark, d).proofs, 5)
 
 
 @query(_TOP.format(where="true").replace("cases", "things"))
