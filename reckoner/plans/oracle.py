@@ -304,6 +304,29 @@ FROM (SELECT merchant_id, cause, cause_key, count(*) AS members, {total('abs(amo
 
 CTES |= _cause_ctes()
 
+CTES["told"] = f"""
+SELECT merchant_id, code, credit_id AS subject_id, abs(residual) AS amount, CASE code
+WHEN 'PARTIAL_PAYMENT' THEN 'Short by ' || {INR('abs(residual)')} || ', which is ' || CASE WHEN abs(residual) = debit THEN '' ELSE {INR('abs(abs(residual) - debit)')} || CASE WHEN abs(residual) > debit THEN ' more than ' ELSE ' less than ' END END || type || ' ' || entity || ', recovered from ' || home
+WHEN 'TAX_DEDUCTION' THEN 'GST came off at ' || CAST(CAST(slab * 100 AS INTEGER) AS VARCHAR) || '%; the difference is ' || {INR('abs(residual)')}
+WHEN 'FEE_DEDUCTION' THEN 'Short by ' || {INR('abs(residual)')} || ': an extra ' || printf('%.3f', round_even(share, 5) * 100) || '% of gross and GST on it, not in the report'
+ELSE {INR('abs(residual)')} || ' of this credit is not explained by its rows' END AS summary,
+list_filter([CASE WHEN code = 'PARTIAL_PAYMENT' THEN created_on END], lambda v: v IS NOT NULL) AS days
+FROM named n LEFT JOIN (SELECT merchant_id, entity_id AS entity, type, debit, created_on FROM settlement_rows) USING (merchant_id, entity)
+UNION ALL SELECT merchant_id, 'UNEXPLAINED', credit_id, amount, {INR('amount')} || CASE WHEN verdict <> 'AMBIGUOUS' THEN ' arrived with no settlement behind it' WHEN len(contested) > 0 THEN ' and other credits fit one settlement' ELSE ' fits ' || CAST(len(candidates) AS VARCHAR) || ' settlements equally well' END, [] FROM unclaimed
+UNION ALL SELECT merchant_id, 'MISSING_SETTLEMENT', settlement_id, CASE WHEN claimed_by IS NULL THEN expected_net ELSE 0 END, 'The gateway reported ' || {INR('expected_net')} || CASE WHEN claimed_by IS NULL THEN '; no bank credit matches it' ELSE '; ' || claimed_by || ' came up short against it' END, [settled_on] FROM missing WHERE NOT found
+UNION ALL SELECT merchant_id, 'UNSETTLED_PAYMENT', payment_id, amount, {INR('amount')} || ' was captured and appears nowhere in the report', list_distinct([captured_on, complete_to]) FROM unsettled"""
+
+
+def scored_after(rungs: int, select: str) -> str:
+    """A select over credit_score, as it would be after so many rungs: the expressions behind it once more, under other names."""
+    names = ("outcome", "claims", "tried", "proofs", "shorts", "refund_fits", "refund_exact", "refund_near", "named", "credit_score")
+    def of(text: str) -> str:
+        return re.sub(r"\b(FROM|JOIN|SEMI JOIN|ANTI JOIN) (" + "|".join(names) + r")\b", rf"\1 \2_after_{rungs}", text)
+
+    for name in names:
+        CTES[f"{name}_after_{rungs}"] = outcome_after(rungs) if name == "outcome" else of(CTES[name])
+    return of(select)
+
 
 def with_ctes(select: str) -> str:
     """The select with the expressions it needs before it."""

@@ -12,7 +12,7 @@ from ..operators import batches as B
 from ..operators import causes, contract, leaks, proofs, rungs, schedule, scoring, triage
 from ..sources.ledger import load
 from ..sources.session import cut
-from .oracle import BAND, DUE, INR, PLAIN, PLATFORM, REFERENCE, SAID, STEM, days_after, days_between, outcome_after, rated, total, with_ctes
+from .oracle import BAND, DUE, INR, PLAIN, PLATFORM, REFERENCE, SAID, STEM, days_after, days_between, outcome_after, rated, scored_after, total, with_ctes
 from .reconcile import run_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -626,7 +626,7 @@ def e5_rates(spark, d):
     return scoring.rates(scoring.scorecard(_graded(spark, d)))
 
 
-@query()
+@query(" UNION ALL ".join(scored_after(n, f"SELECT {n} AS rungs, '{rung.__name__}' AS last_rung, *, {_RATES} FROM (SELECT {_CARD} FROM credit_score)") for n, rung in enumerate(rungs.RUNGS, 1)))
 def e6_ablation(spark, d):
     """One rung more for each row."""
     from .reconcile import ablation

@@ -56,7 +56,7 @@ def q8_unexplained(spark, d):
     return reports.unexplained(causes.induce(queue), causes.coverage(queue))
 
 
-@query()
+@query("SELECT merchant_id, cause AS what, members, total AS amount FROM causes_found WHERE place = 1 UNION ALL SELECT merchant_id, summary, 1, abs(amount) FROM (SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY abs(amount) DESC, subject_id DESC) AS nth FROM told ANTI JOIN causes_found USING (merchant_id)) WHERE nth = 1")
 def q9_biggest(spark, d):
     queue = _queue(spark, d)
     return reports.biggest(causes.induce(queue), queue)
@@ -73,7 +73,7 @@ def q11_on_a_day(spark, d):
     return reports.on_days(ledger.credits, ledger.rows, ledger.payments, _queue(spark, d)).filter("what <> 'cases'")
 
 
-@query()
+@query(f"SELECT merchant_id, on_day, 'cases' AS what, count(*) AS n, {total('abs(amount)')} AS amount FROM (SELECT merchant_id, amount, unnest(days) AS on_day FROM told) GROUP BY merchant_id, on_day")
 def q11_cases_by_day(spark, d):
     ledger = load(spark, d)
     return reports.on_days(ledger.credits, ledger.rows, ledger.payments, _queue(spark, d)).filter("what = 'cases'")
