@@ -13,7 +13,7 @@ from ..sources import normalise as N
 from ..sources import statements
 from ..sources.fields import field_rows, field_table
 from ..sources.ledger import load
-from ..sources.session import cut
+from ..sources.session import cut, stamp
 from .oracle import CTES, quoted
 from .queries import query
 
@@ -163,7 +163,7 @@ _kept: dict = {}
 
 
 def _fitting(spark, d) -> DataFrame:
-    key = (spark.sparkContext.applicationId, d)
+    key = (spark.sparkContext.applicationId, *stamp(spark, f"{d}/orders.parquet"))
     if key not in _kept:
         cells = _cells(spark, d)
         _kept[key] = cut(P.fits(P.profile(cells), P.date_patterns(cells)))
@@ -222,7 +222,18 @@ def p6_identity_check(spark, d):
     return P.identity_check(P.money_table(cells, _mapping(cells, "gateway")))
 
 
-@query()
+_KNOWN = ", ".join(f"'{MAPPING['gateway'][f]}'" for f in ("amount", "fee", "tax"))
+_TRIED = f"""SELECT c.file, c.col AS credit_col, d.col AS debit_col, count(*) AS checked,
+count(*) FILTER (WHERE NOT (c.paise - d.paise IN (amount - fee - tax, -(amount + fee + tax)))) AS plain,
+count(*) FILTER (WHERE NOT (c.paise - d.paise IN (amount - fee - tax - CAST(round(amount * 0.01, 0) AS BIGINT), -(amount + fee + tax)))) AS held
+FROM ({_MONEY}) m JOIN read c ON c.file = m.file AND c.line = m.line JOIN read d ON d.file = m.file AND d.line = m.line AND d.col <> c.col
+WHERE c.paise IS NOT NULL AND d.paise IS NOT NULL AND amount IS NOT NULL AND fee IS NOT NULL AND tax IS NOT NULL
+AND (c.file, c.col) IN (SELECT (file, col) FROM read WHERE col NOT IN ({_KNOWN}) GROUP BY file, col HAVING count(paise) >= 12)
+AND (d.file, d.col) IN (SELECT (file, col) FROM read WHERE col NOT IN ({_KNOWN}) GROUP BY file, col HAVING count(paise) >= 12)
+GROUP BY c.file, c.col, d.col"""
+
+
+@query(f"SELECT file, count(*) AS solutions, CASE WHEN count(*) = 1 THEN any_value(credit_col) END AS credit, CASE WHEN count(*) = 1 THEN any_value(debit_col) END AS debit FROM ({_TRIED}) WHERE least(plain, held) = 0 AND checked >= 12 GROUP BY file")
 def p7_solve_money(spark, d):
     """Credit and debit taken as unknown."""
     cells = _of(spark, d, "gateway")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from ..functions import calendar, money, rates, text
 from ..operators import batches as B
 from ..operators import causes, contract, leaks, proofs, rungs, schedule, scoring, triage
 from ..sources.ledger import load
-from ..sources.session import cut
+from ..sources.session import cut, stamp
 from .oracle import BAND, DUE, INR, PLAIN, PLATFORM, REFERENCE, SAID, STEM, days_after, days_between, outcome_after, rated, scored_after, total, with_ctes
 from .reconcile import run_of
 
@@ -314,6 +315,19 @@ def j9_cascade_plain(spark, d):
     return _outcome(run_of(spark, d, rungs.PLAIN_RUNGS))
 
 
+@query(f"SELECT {_COLUMNS} FROM outcome")
+def s2_saved_and_reconciled(spark, d):
+    """The four tables saved, read again as given ones and reconciled: the same outcomes."""
+    from ..sources.ledger import read
+    from ..sources.session import shared_dir
+    from ..sources.store import save_ledger
+    from .reconcile import reconcile
+
+    folder = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    save_ledger(load(spark, d), folder)
+    return _outcome(reconcile(read(spark, folder)))
+
+
 def _refs(cond: str) -> str:
     return f"coalesce(array_to_string(list_sort(list(entity_id) FILTER (WHERE {cond})), ','), '')"
 
@@ -399,7 +413,7 @@ def j16_leaks(spark, d):
 
 
 def _queue(spark, d, run=None):
-    key = (spark.sparkContext.applicationId, d, run is None)
+    key = (spark.sparkContext.applicationId, *stamp(spark, f"{d}/orders.parquet"), run is None)
     if key not in _queues:
         _queues[key] = cut(triage.exceptions(run or _run(spark, d)))
     return _queues[key]

@@ -13,7 +13,7 @@ from ..operators.contract import rate_cards
 from ..operators.proofs import prove
 from ..operators.rungs import RUNGS
 from ..sources.ledger import Ledger, load
-from ..sources.session import cut
+from ..sources.session import cut, stamp
 
 
 def cascade(credits: DataFrame, batches: DataFrame, rates: DataFrame, rungs=RUNGS) -> DataFrame:
@@ -78,7 +78,7 @@ _runs: dict[tuple, Run] = {}
 
 def run_of(spark: SparkSession, sf_dir: str, rungs=RUNGS) -> Run:
     """The run over a folder's derived ledger, kept for the session."""
-    key = (spark.sparkContext.applicationId, sf_dir, tuple(r.__name__ for r in rungs))
+    key = (spark.sparkContext.applicationId, *stamp(spark, f"{sf_dir}/orders.parquet"), tuple(r.__name__ for r in rungs))
     if key not in _runs:
         _runs[key] = reconcile(load(spark, sf_dir), rungs)
     return _runs[key]

@@ -13,8 +13,9 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, stamp
 
 BODIES = {
     "base": """
@@ -114,6 +115,7 @@ FROM {settlement_rows} WHERE type = 'refund' AND settlement_id IS NULL""",
 SELECT p.merchant_id, p.settlement_id, p.utr, p.due, p.net,
        CASE WHEN p.twin THEN 'twin' WHEN rn % 16 = 15 THEN 'missing' WHEN rn % 16 = 5 THEN 'hidden_fee' WHEN rn % 16 = 7 THEN 'wrong_gst'
             WHEN rn % 16 = 12 AND o.debit IS NOT NULL AND o.debit < p.net THEN 'refund_elsewhere' WHEN rn % 16 IN (9, 10) THEN 'merged'
+            WHEN rn % 48 = 24 THEN 'posted_twice'
             WHEN rn % 3 = 1 THEN 'reference_lost' WHEN rn % 5 = 2 THEN 'reference_cut' ELSE 'none' END AS defect,
        CAST(CASE WHEN p.twin THEN 0
             WHEN rn % 16 = 5 THEN round(CAST(gross AS decimal(20,0)) * CAST(0.0015 AS decimal(6,4)), 0) + round(round(CAST(gross AS decimal(20,0)) * CAST(0.0015 AS decimal(6,4)), 0) * CAST(0.18 AS decimal(6,4)), 0)
@@ -133,15 +135,20 @@ FROM (SELECT merchant_id, concat('bank_', CAST(merchant_id AS string), '_', line
              max(CASE WHEN defect = 'none' AND rn % 4 = 0 THEN utr END) AS utr
       FROM {paid_lines} WHERE defect <> 'missing' GROUP BY merchant_id, line
       UNION ALL
+      SELECT merchant_id, concat('bank_', CAST(merchant_id AS string), '_', line, '_again'), CAST(net + drift - short AS bigint), due, concat('NEFT CR ', utr, ' RAZORPAY SOFTWARE PVT LTD'), NULL
+      FROM {paid_lines} WHERE defect = 'posted_twice'
+      UNION ALL
       SELECT merchant_id, concat('bank_', CAST(merchant_id AS string), '_z', CAST(n AS string)), CAST(7654321 + 111111 * n + 13 * merchant_id AS bigint), CAST(3 + 7 * n AS int),
              concat('NEFT ACME TRADERS REF', CAST(1000 + n AS string)), NULL
       FROM (SELECT DISTINCT merchant_id FROM {base}) m CROSS JOIN (SELECT 1 AS n UNION ALL SELECT 2) z) c""",
     "credit_truth": """
 SELECT merchant_id, credit_id, defect, matchable, provable
 FROM (SELECT merchant_id, concat('bank_', CAST(merchant_id AS string), '_', line) AS credit_id, max(defect) AS defect,
-             max(defect) <> 'twin' AS matchable, sum(short) = 0 AS provable
+             max(defect) NOT IN ('twin', 'posted_twice') AS matchable, sum(short) = 0 AS provable
       FROM {paid_lines} WHERE defect <> 'missing' GROUP BY merchant_id, line
       UNION ALL
+      SELECT merchant_id, concat('bank_', CAST(merchant_id AS string), '_', line, '_again'), defect, false, true FROM {paid_lines} WHERE defect = 'posted_twice'
+      UNION ALL
       SELECT merchant_id, credit_id, 'orphan', false, false FROM {bank_credits} WHERE narration LIKE 'NEFT ACME%') t""",
     "truth_links": """
 SELECT merchant_id, concat('bank_', CAST(merchant_id AS string), '_', line) AS credit_id, settlement_id FROM {paid_lines} WHERE defect <> 'missing'""",
@@ -171,18 +178,45 @@ def duckdb_body(name: str) -> str:
 
 @dataclass(frozen=True)
 class Ledger:
-    """The tables of one run, all merchants together."""
+    """The tables of one run, all merchants together. The truth, where it is known, is only for scoring."""
 
     orders: DataFrame
     payments: DataFrame
     rows: DataFrame
     credits: DataFrame
-    truth: DataFrame
-    truth_links: DataFrame
-    leak_truth: DataFrame
+    truth: DataFrame | None = None
+    truth_links: DataFrame | None = None
+    leak_truth: DataFrame | None = None
+
+
+#: The given tables and the columns that the rules read.
+TABLES = {
+    "orders": "merchant_id order_id amount",
+    "payments": "merchant_id payment_id order_id amount method card_type captured_on",
+    "settlement_rows": "merchant_id entity_id type debit credit amount fee tax created_on settled_on settlement_id settlement_utr payment_id order_id method card_type",
+    "bank_credits": "merchant_id credit_id amount value_date narration utr",
+}
+
+
+def given(tables: dict[str, DataFrame]) -> Ledger:
+    """A ledger from the four tables as they are given. One merchant's tables may lack merchant_id; other columns stay."""
+    made = []
+    for name, columns in TABLES.items():
+        df = tables[name]
+        if "merchant_id" not in df.columns:
+            df = df.withColumn("merchant_id", F.lit(0).cast("long"))
+        if missing := [c for c in columns.split() if c not in df.columns]:
+            raise ValueError(f"{name} lacks {', '.join(missing)}")
+        made.append(df)
+    return Ledger(*made)
+
+
+def read(spark: SparkSession, folder: str) -> Ledger:
+    """A ledger from a folder with the four tables as Parquet."""
+    return given({name: spark.read.parquet(f"{folder}/{name}.parquet") for name in TABLES})
 
 
-_loaded: dict[tuple[str, str], dict[str, DataFrame]] = {}
+_loaded: dict[tuple, dict[str, DataFrame]] = {}
 
 
 def derive(orders: DataFrame) -> dict[str, DataFrame]:
@@ -197,7 +231,7 @@ def derive(orders: DataFrame) -> dict[str, DataFrame]:
 
 def frames_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Every table derived from a folder's orders, kept for the session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, *stamp(spark, f"{sf_dir}/orders.parquet"))
     if key not in _loaded:
         _loaded[key] = derive(spark.read.parquet(f"{sf_dir}/orders.parquet"))
     return _loaded[key]

@@ -4,15 +4,32 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows behind a reliable checkpoint in spark.checkpoint.dir; in a temporary folder where that is unset on one machine."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if not named and not sc.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a temporary one where that is unset on one machine (tests)."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = tempfile.mkdtemp(prefix="checkpoint-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows behind a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """What tells whether a table's files are still the same: their path, lengths and times."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    own = fs.getFileStatus(where)
+    found = [own, *fs.listStatus(where)] if own.isDirectory() else [own]
+    return path, sum(f.getLen() for f in found), max(f.getModificationTime() for f in found), len(found)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, stamp
 
 PREAMBLE_LINES, SAMPLE_LINES = 20, 20
 
@@ -57,7 +57,7 @@ def render(spark, sf_dir: str) -> DataFrame:
     """Cells of four files for each merchant of a folder's derived ledger."""
     from .ledger import frames_of
 
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, *stamp(spark, f"{sf_dir}/orders.parquet"))
     if key not in _kept:
         frames = dict(frames_of(spark, sf_dir))
         for name, body in BODIES.items():
