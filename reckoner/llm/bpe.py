@@ -16,6 +16,7 @@ ordinary text; other columns are ignored; no rows give no rows.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -31,9 +32,11 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import table
 
-BLOCK_CHARS = 2_000_000
-KEPT_PIECES = 300_000
+BLOCK_CHARS = 1_000_000
+KEPT_PIECES = 200_000
+TEXTS_AT_ONCE = 1000
 ROUND_TRIP = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+DIGESTS = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
 class Vocabulary:
@@ -238,14 +241,24 @@ def decode(docs: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str
 
 
 def digests(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document."""
-    coded = round_trip(docs.select("doc_id", "text"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
-    return coded.select(
-        "doc_id",
-        F.expr("octet_length(coded.ids) div 4").cast("long").alias("n_tokens"),
-        F.sha2("coded.ids", 256).alias("ids_sha256"),
-        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each document; ids and decoded bytes are hashed where they are made."""
+    shared = _shared(docs.sparkSession, ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    split = pattern or public_tokenizers.PATTERN
+
+    @arrow_udf(DIGESTS)
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _encoder(shared.value, split)
+        for texts in batches:
+            sizes, ids, decoded = [], [], []
+            for at in range(0, len(texts), TEXTS_AT_ONCE):
+                for coded in encoder.encode(texts.slice(at, TEXTS_AT_ONCE).to_pylist()):
+                    sizes.append(len(coded) // 4)
+                    ids.append(hashlib.sha256(coded).hexdigest())
+                    decoded.append(hashlib.sha256(encoder.decode(coded)).hexdigest())
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    coded = docs.select("doc_id", code(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("coded"))
+    return coded.select("doc_id", "coded.n_tokens", "coded.ids_sha256", "coded.decoded_sha256")
 
 
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
