@@ -74,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The stages hold trained models and graph components, which SQL cannot express; tests/llm compare with brute force.
+#: The stages hold trained models and graph components, which SQL cannot express; tests/llm compare the operators with brute force.
 ORACLE_SQL = None
