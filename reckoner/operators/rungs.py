@@ -180,13 +180,10 @@ def least_shared(length: int, ratio: float) -> int:
 
 def _bound(ratio: Column | float) -> Column:
     """least_shared of the reference's length, at a ratio given in whole hundredths from FLOOR - MARGIN up where it is a column."""
-    lengths = range(LONGEST + 1)
-    if isinstance(ratio, float):
-        table = F.array(*[F.lit(least_shared(n, ratio)) for n in lengths])
-    else:
-        steps = [F.array(*[F.lit(least_shared(n, k / 100)) for n in lengths]) for k in range(RATIO_FROM, 101)]
-        table = F.get(F.array(*steps), ratio - RATIO_FROM)
-    return F.get(table, F.least(F.length("reference"), F.lit(LONGEST)))
+    ratios = [ratio] if isinstance(ratio, float) else [k / 100 for k in range(RATIO_FROM, 101)]
+    table = F.split(F.lit(",".join(str(least_shared(n, r)) for r in ratios for n in range(LONGEST + 1))), ",")  # one literal: a thousand slow down every analysis
+    row = F.lit(0) if isinstance(ratio, float) else ratio - RATIO_FROM
+    return F.get(table, row * (LONGEST + 1) + F.least(F.length("reference"), F.lit(LONGEST))).cast("int")
 
 
 RATIO_FROM = round(100 * (FLOOR - MARGIN))
@@ -210,23 +207,36 @@ def _sharing(said: DataFrame, open_: DataFrame, bound: Column, blind: Column) ->
     return met.filter(F.col("shared") >= bound).select(*keys).unionByName(short.select(*keys))
 
 
+#: Not marked so, the filter on the score would go below the count of shared pairs and score every pair that shares one.
+_similarity_in_place = similarity.asNondeterministic()
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Pairs that score at all. Few bytes of rows take much work, so they are dealt to as many tasks as a shuffle has."""
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(tasks, *CREDIT, "settlement_id").withColumn("score", _similarity_in_place("reference", "said")).filter("score > 0")
+
+
 def fuzzy_scores(credits: DataFrame, batches: DataFrame) -> DataFrame:
     """Best score of each credit that some reference resembles, and the second where it is less than MARGIN behind, else 0.
 
     Winners are looked for among references that share so many adjacent pairs with
-    the narration as a ratio of FLOOR takes; runners-up then among those that share
-    what a ratio of the winner's score less MARGIN takes. Only where that is nothing,
-    a credit meets all open references of its merchant of such a length.
+    the narration as a ratio of FLOOR takes. A winner of FLOOR + MARGIN or more has its
+    runner-up among the same ones. For lower winners it is looked for among those that
+    share what a ratio of the winner's score less MARGIN takes; only where that is
+    nothing, a credit meets all open references of its merchant of such a length.
     """
     said = credits.select(*CREDIT, narration_letters(F.col("narration")).alias("said")).filter("said <> ''")
     open_ = batches.filter("settlement_utr <> ''").select("merchant_id", "settlement_id", reference_letters(F.col("settlement_utr")).alias("reference")).filter("reference <> ''")
     none = min(least_shared(n, FLOOR) for n in range(2, LONGEST + 1))
-    winners = _sharing(said, open_, _bound(FLOOR), F.lit(none == 0)).withColumn("score", similarity("reference", "said")).filter(F.col("score") >= FLOOR)
-    best = cut(winners.groupBy(*CREDIT, "said").agg(F.max("score").alias("best")))
-    asked = best.withColumn("hundredths", F.floor((F.col("best") - MARGIN) * 100 + 1e-9).cast("int"))
+    near = cut(_scored(_sharing(said, open_, _bound(FLOOR), F.lit(none == 0))).select(*CREDIT, "said", "settlement_id", "score"))
+    best = near.groupBy(*CREDIT, "said").agg(F.max("score").alias("best")).filter(F.col("best") >= FLOOR)
+    high = F.col("best") >= FLOOR + MARGIN
+    asked = best.filter(~high).withColumn("hundredths", F.floor((F.col("best") - MARGIN) * 100 + 1e-9).cast("int"))
     blind_below = min(k for k in range(RATIO_FROM, 102) if k == 101 or all(least_shared(n, k / 100) for n in range(2, LONGEST + 1)))
-    rivals = _sharing(asked, open_, _bound(F.col("hundredths")), F.col("hundredths") < blind_below)
-    scored = rivals.withColumn("score", similarity("reference", "said")).filter(F.col("best") - F.col("score") < MARGIN)
+    rivals = _scored(_sharing(asked, open_, _bound(F.col("hundredths")), F.col("hundredths") < blind_below))
+    kept = [*CREDIT, "settlement_id", "score", "best"]
+    scored = near.join(best.filter(high).drop("said"), CREDIT).select(*kept).unionByName(rivals.select(*kept)).filter(F.col("best") - F.col("score") < MARGIN)
     order = Window.partitionBy(*CREDIT).orderBy(F.desc("score"), "settlement_id")
     return (
         scored.withColumn("place", F.row_number().over(order))
