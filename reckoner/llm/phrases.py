@@ -38,7 +38,7 @@ WORDS = 4  # of the longest candidate
 COVERED = 80  # percent of a phrase's occurrences that lie in one longer candidate
 TOP = 2000
 SHARD_WORDS = 1 << 20
-BODY_BYTES = 32 << 20  # texts that are split at once
+BODY_BYTES = 4 << 20  # texts that are split at once
 SALTS = 64  # parts of a language that are ranked apart first
 
 #: Bytes that end a piece, bytes that end a word.
