@@ -1,7 +1,8 @@
 """The matching rungs. Each takes credits and open batches and gives one attempt for each credit.
 
 An attempt: strategy, verdict (MATCHED, AMBIGUOUS, NO_CANDIDATE), settlement_ids
-of a match, candidates, confidence. A rung never picks among several fits.
+of a match, candidates, confidence. A rung never picks among several fits. prior: the
+outcome of earlier rungs, for those that make use of it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .batches import CREDIT
 
 NEAR_DAYS = 1
 MERGE_BEFORE, MERGE_AFTER = 3, 1
-MOST_MEMBERS, MOST_POOL = 3, 66
+MOST_MEMBERS = 3
 FLOOR, MARGIN = 0.78, 0.10
 SCORED_FROM = 0.65  # below FLOOR - MARGIN a score decides nothing and counts as 0
 LONGEST = 40  # references up to this length have a bound of their own
@@ -53,7 +54,7 @@ def _verdicts(credits: DataFrame, fits: DataFrame, strategy: str, confidence: Co
     )
 
 
-def exact_reference(credits: DataFrame, batches: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+def exact_reference(credits: DataFrame, batches: DataFrame, rates: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
     """The bank's reference, or one read from the narration, equals the payout's."""
     known = credits.select(*CREDIT, F.coalesce(F.when(F.col("utr") != "", F.col("utr")), extract_reference(F.col("narration"))).alias("settlement_utr"))
     fits = known.filter("settlement_utr IS NOT NULL").join(batches.select("merchant_id", "settlement_utr", "settlement_id"), ["merchant_id", "settlement_utr"])
@@ -68,7 +69,7 @@ def _near(credits: DataFrame, batches: DataFrame, before: int, after: int) -> Da
     return asked.join(open_, ["merchant_id", "settled_on"])
 
 
-def amount_and_date(credits: DataFrame, batches: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+def amount_and_date(credits: DataFrame, batches: DataFrame, rates: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
     """Settled within a day and equal within the batch's allowance."""
     gap = F.abs(F.col("amount") - F.col("expected_net"))
     fits = _near(credits, batches, NEAR_DAYS, NEAR_DAYS).filter(gap <= F.col("allowance"))
@@ -76,53 +77,76 @@ def amount_and_date(credits: DataFrame, batches: DataFrame, rates: DataFrame | N
     return _verdicts(credits, fits, "amount_date", sure)
 
 
-def subset_sum(credits: DataFrame, batches: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+def _pairs_of(held: DataFrame) -> DataFrame:
+    """Two payouts of a merchant that a credit could cover together, the larger one first, with what they add up to: made once for all credits."""
+    side = lambda n: held.select("merchant_id", *[F.col(c).alias(f"{c}_{n}") for c in ("settlement_id", "settled_on", "expected_net", "allowance")])
+    window = MERGE_BEFORE + MERGE_AFTER
+    days = F.explode(F.sequence(F.date_sub("settled_on_1", window), F.date_add("settled_on_1", window)))
+    first = F.col("expected_net_1") > F.col("expected_net_2")
+    same = (F.col("expected_net_1") == F.col("expected_net_2")) & (F.col("settlement_id_1") < F.col("settlement_id_2"))
+    pairs = side(1).withColumn("settled_on_2", days).join(side(2), ["merchant_id", "settled_on_2"]).filter(first | same)
+    return pairs.withColumn("net", F.col("expected_net_1") + F.col("expected_net_2")).withColumn("slack", F.col("allowance_1") + F.col("allowance_2"))
+
+
+def _anchors(prior: DataFrame, batches: DataFrame) -> DataFrame:
+    """The open payouts that a claim withdrawn earlier names for a credit."""
+    named = prior.select(*CREDIT, F.explode("withdrawn_ids").alias("settlement_id"))
+    return named.join(batches.select("merchant_id", "settlement_id"), ["merchant_id", "settlement_id"]).groupBy(*CREDIT).agg(F.sort_array(F.collect_set("settlement_id")).alias("anchors"))
+
+
+def subset_sum(credits: DataFrame, batches: DataFrame, rates: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
     """Two or three payouts of the days around add up to the credit, and nothing else does.
 
-    Single fits compete too. A pool of one has nothing to combine; one of more than
-    MOST_POOL is refused: a search for rivals of a combination would not end in its budget.
+    Single fits compete too; a pool of one has nothing to combine. prior: the outcome so
+    far; where a withdrawn claim names payouts that are still open, only what contains all
+    of them is an answer, and a surer one.
+
+    Met in the middle: what two payouts of a merchant add up to is listed once, by buckets
+    of money as wide as the widest allowance of three; a credit looks up its amount, and its
+    amount less each third payout, in three buckets. No pool is too large to be searched.
     """
     by_credit = Window.partitionBy(*CREDIT)
-    pool = (
-        _near(credits, batches, MERGE_BEFORE, MERGE_AFTER)
-        .filter((F.col("expected_net") > 0) & (F.col("expected_net") <= F.col("amount") + F.col("allowance")))
-        .withColumn("place", F.row_number().over(by_credit.orderBy(F.desc("expected_net"), "settlement_id")))
-        .withColumn("pool", F.count(F.lit(1)).over(by_credit))
-        .filter(F.col("pool").between(2, MOST_POOL))
-    )
-    member = pool.select(*CREDIT, "amount", "place", "settlement_id", "expected_net", "allowance")
-
-    def as_member(n: int) -> DataFrame:
-        return member.select(*CREDIT, *[F.col(c).alias(f"{c}_{n}") for c in ("place", "settlement_id", "expected_net", "allowance")])
-
-    off = F.abs(F.col("amount") - F.col("net"))
-    singles = member.select(*CREDIT, "amount", F.array("settlement_id").alias("ids"), F.col("expected_net").alias("net"), F.col("allowance").alias("slack")).filter(off <= F.col("slack"))
-    pairs = (
-        member.select(*CREDIT, "amount", *[F.col(c).alias(f"{c}_1") for c in ("place", "settlement_id", "expected_net", "allowance")])
-        .join(as_member(2), CREDIT)
-        .filter("place_1 < place_2")
-        .withColumn("net", F.col("expected_net_1") + F.col("expected_net_2"))
-        .withColumn("slack", F.col("allowance_1") + F.col("allowance_2"))
-    )
-    found_pairs = pairs.filter(off <= F.col("slack")).select(*CREDIT, "amount", F.array("settlement_id_1", "settlement_id_2").alias("ids"), "net", "slack")
-    triples = (
-        pairs.filter(off > F.col("slack"))
-        .filter("net < amount + slack")
-        .join(as_member(3), CREDIT)
-        .filter("place_2 < place_3")
-        .withColumn("net", F.col("net") + F.col("expected_net_3"))
-        .withColumn("slack", F.col("slack") + F.col("allowance_3"))
-        .filter(off <= F.col("slack"))
-        .select(*CREDIT, "amount", F.array("settlement_id_1", "settlement_id_2", "settlement_id_3").alias("ids"), "net", "slack")
-    )
-    grouped = singles.unionByName(found_pairs).unionByName(triples).groupBy(*CREDIT).agg(
+    near = _near(credits, batches, MERGE_BEFORE, MERGE_AFTER).filter((F.col("expected_net") > 0) & (F.col("expected_net") <= F.col("amount") + F.col("allowance")))
+    pool = near.withColumn("pool", F.count(F.lit(1)).over(by_credit)).filter("pool > 1").drop("pool")
+    pool = pool.join(_anchors(prior, batches), CREDIT, "left") if prior is not None else pool.withColumn("anchors", F.lit(None).cast(STRINGS))
+    pool = cut(pool.withColumn("anchors", F.coalesce("anchors", _none())))
+
+    held = pool.select("merchant_id", "settlement_id", "settled_on", "expected_net", "allowance").distinct()
+    width = held.groupBy("merchant_id").agg((F.max("allowance") * MOST_MEMBERS + 1).alias("width"))
+    listed = _pairs_of(held).join(width, "merchant_id").withColumn("bucket", F.floor(F.col("net") / F.col("width"))).drop("width")
+
+    asked = ["amount", "value_date", "anchors"]
+    third = pool.select(*CREDIT, *asked, *[F.col(c).alias(f"{c}_3") for c in ("settlement_id", "expected_net", "allowance")])
+    alone = pool.select(*CREDIT, *asked).distinct().select("*", F.lit(None).cast("string").alias("settlement_id_3"), F.lit(0).cast("long").alias("expected_net_3"), F.lit(0).cast("long").alias("allowance_3"))
+    rest = F.col("amount") - F.col("expected_net_3")
+    lookups = third.unionByName(alone).join(width, "merchant_id").filter(rest + F.col("width") >= 2 * F.col("expected_net_3"))
+    middle = F.floor(rest / F.col("width"))
+    lookups = lookups.withColumn("bucket", F.explode(F.array(middle - 1, middle, middle + 1))).drop("width")
+
+    met = lookups.join(listed, ["merchant_id", "bucket"])
+    for n in (1, 2):
+        day, most = F.col(f"settled_on_{n}"), F.col("amount") + F.col(f"allowance_{n}")
+        met = met.filter((day >= F.date_sub("value_date", MERGE_BEFORE)) & (day <= F.date_add("value_date", MERGE_AFTER)) & (F.col(f"expected_net_{n}") <= most))
+    later = (F.col("expected_net_2") > F.col("expected_net_3")) | ((F.col("expected_net_2") == F.col("expected_net_3")) & (F.col("settlement_id_2") < F.col("settlement_id_3")))
+    pair = F.array("settlement_id_1", "settlement_id_2")
+    anchored = lambda ids: F.size(F.array_except("anchors", ids)) == 0
+    fits_already = (F.abs(F.col("amount") - F.col("net")) <= F.col("slack")) & anchored(pair)
+    ids = F.array_compact(F.array("settlement_id_1", "settlement_id_2", "settlement_id_3"))
+    met = met.filter(F.abs(rest - F.col("net")) <= F.col("slack") + F.col("allowance_3")).filter(F.col("settlement_id_3").isNull() | (later & ~fits_already)).filter(anchored(ids))
+    several = met.select(*CREDIT, "anchors", ids.alias("ids"), F.abs(rest - F.col("net")).alias("off"))
+    off = F.abs(F.col("amount") - F.col("expected_net"))
+    single = pool.filter((off <= F.col("allowance")) & ((F.size("anchors") == 0) | F.array_contains("anchors", F.col("settlement_id"))))
+    found = several.unionByName(single.select(*CREDIT, "anchors", F.array("settlement_id").alias("ids"), off.alias("off")))
+    every = F.concat(*(F.collect_set(F.get("ids", F.lit(k))) for k in range(MOST_MEMBERS)))
+    grouped = found.groupBy(*CREDIT).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("all_ids"),
+        F.sort_array(F.array_distinct(every)).alias("all_ids"),
         F.sort_array(F.first("ids")).alias("ids"),
-        F.first(off).alias("off"),
+        F.first("off").alias("off"),
+        F.first(F.size("anchors") > 0).alias("anchored"),
     )
     n = F.coalesce("n", F.lit(0))
-    sure = F.when(F.col("off") == 0, 0.75).otherwise(0.65) - F.lit(0.05) * (F.size("ids") - 2)
+    sure = F.when(F.col("off") == 0, 0.75).otherwise(0.65) + F.when(F.col("anchored"), 0.15).otherwise(0.0) - F.lit(0.05) * (F.size("ids") - 2)
     return credits.select(*CREDIT).join(grouped, CREDIT, "left").select(
         *CREDIT,
         F.lit("subset_sum").alias("strategy"),
@@ -190,21 +214,31 @@ RATIO_FROM = round(100 * (FLOOR - MARGIN))
 
 
 def _pairs_in(text: Column) -> Column:
-    """Adjacent pairs of characters, repeats included, and an empty one that every text has."""
-    return F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2))))
+    """Adjacent pairs of characters, repeats included."""
+    return F.when(F.length(text) > 1, F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(_none())
+
+
+def no_pair_up_to(ratio: float) -> int:
+    """The longest reference that can reach the ratio without sharing an adjacent pair; all shorter ones can, too."""
+    return max(n for n in range(1, LONGEST + 1) if least_shared(n, ratio) == 0)
 
 
-def _sharing(said: DataFrame, open_: DataFrame, bound: Column, blind: Column) -> DataFrame:
+def _sharing(said: DataFrame, open_: DataFrame, bound: Column, free: Column) -> DataFrame:
     """Credits with the references that have as many pairs in common with what is said as the bound takes.
 
-    Where `blind`, a credit meets every reference that needs no pair as well. An equi-join on merchant and pair.
+    An equi-join on merchant and pair. References of up to `free` letters, which need no
+    pair, are met by their length (a mark and the number); those of one letter only where
+    it is the last one said, for any longer stretch is too long for it.
     """
-    asked = said.filter("length(said) > 1").withColumn("pair", F.explode(F.filter(F.array_distinct(_pairs_in(F.col("said"))), lambda x: (x != "") | blind)))
-    held = open_.filter("length(reference) > 1").withColumn("pair", F.explode(_pairs_in(F.col("reference"))))
+    lengths = F.when(free > 1, F.transform(F.sequence(F.lit(2), free), lambda n: F.concat(F.lit("#"), n.cast("string")))).otherwise(_none())
+    last = F.array(F.concat(F.lit("$"), F.right(F.col("said"), F.lit(1))))
+    asked = said.withColumn("pair", F.explode(F.concat(F.array_distinct(_pairs_in(F.col("said"))), lengths, last)))
+    size = F.length("reference")
+    kind = F.when(size == 1, F.array(F.concat(F.lit("$"), F.col("reference")))).when(size <= no_pair_up_to(RATIO_FROM / 100), F.array(F.concat(F.lit("#"), size.cast("string")))).otherwise(_none())
+    held = open_.withColumn("pair", F.explode(F.concat(_pairs_in(F.col("reference")), kind)))
     keys = [*CREDIT, "settlement_id", "said", "reference", *(c for c in said.columns if c not in (*CREDIT, "said"))]
-    met = asked.join(held, ["merchant_id", "pair"]).groupBy(*keys).agg(F.count_if(F.col("pair") != "").alias("shared"))
-    short = said.filter("length(said) = 1").join(open_, "merchant_id").unionByName(said.filter("length(said) > 1").join(open_.filter("length(reference) = 1"), "merchant_id"))
-    return met.filter(F.col("shared") >= bound).select(*keys).unionByName(short.select(*keys))
+    met = asked.join(held, ["merchant_id", "pair"]).groupBy(*keys).agg(F.count_if(~F.substring("pair", 1, 1).isin("#", "$")).alias("shared"))
+    return met.filter(F.col("shared") >= bound).select(*keys)
 
 
 #: Not marked so, the filter on the score would go below the count of shared pairs and score every pair that shares one.
@@ -223,18 +257,17 @@ def fuzzy_scores(credits: DataFrame, batches: DataFrame) -> DataFrame:
     Winners are looked for among references that share so many adjacent pairs with
     the narration as a ratio of FLOOR takes. A winner of FLOOR + MARGIN or more has its
     runner-up among the same ones. For lower winners it is looked for among those that
-    share what a ratio of the winner's score less MARGIN takes; only where that is
-    nothing, a credit meets all open references of its merchant of such a length.
+    share what a ratio of the winner's score less MARGIN takes. Only references so short
+    that no pair is needed (three letters at FLOOR, seven at 0.72) are met by length.
     """
     said = credits.select(*CREDIT, narration_letters(F.col("narration")).alias("said")).filter("said <> ''")
     open_ = batches.filter("settlement_utr <> ''").select("merchant_id", "settlement_id", reference_letters(F.col("settlement_utr")).alias("reference")).filter("reference <> ''")
-    none = min(least_shared(n, FLOOR) for n in range(2, LONGEST + 1))
-    near = cut(_scored(_sharing(said, open_, _bound(FLOOR), F.lit(none == 0))).select(*CREDIT, "said", "settlement_id", "score"))
+    near = cut(_scored(_sharing(said, open_, _bound(FLOOR), F.lit(no_pair_up_to(FLOOR)))).select(*CREDIT, "said", "settlement_id", "score"))
     best = near.groupBy(*CREDIT, "said").agg(F.max("score").alias("best")).filter(F.col("best") >= FLOOR)
     high = F.col("best") >= FLOOR + MARGIN
     asked = best.filter(~high).withColumn("hundredths", F.floor((F.col("best") - MARGIN) * 100 + 1e-9).cast("int"))
-    blind_below = min(k for k in range(RATIO_FROM, 102) if k == 101 or all(least_shared(n, k / 100) for n in range(2, LONGEST + 1)))
-    rivals = _scored(_sharing(asked, open_, _bound(F.col("hundredths")), F.col("hundredths") < blind_below))
+    free = F.get(F.array(*(F.lit(no_pair_up_to(k / 100)) for k in range(RATIO_FROM, 101))), F.col("hundredths") - RATIO_FROM)
+    rivals = _scored(_sharing(asked, open_, _bound(F.col("hundredths")), free))
     kept = [*CREDIT, "settlement_id", "score", "best"]
     scored = near.join(best.filter(high).drop("said"), CREDIT).select(*kept).unionByName(rivals.select(*kept)).filter(F.col("best") - F.col("score") < MARGIN)
     order = Window.partitionBy(*CREDIT).orderBy(F.desc("score"), "settlement_id")
@@ -248,7 +281,7 @@ def fuzzy_scores(credits: DataFrame, batches: DataFrame) -> DataFrame:
     )
 
 
-def fuzzy_narration(credits: DataFrame, batches: DataFrame, rates: DataFrame | None = None) -> DataFrame:
+def fuzzy_narration(credits: DataFrame, batches: DataFrame, rates: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
     """A damaged reference resembles one payout's, and clearly more than any other's."""
     best = fuzzy_scores(credits, batches).filter(F.col("score") >= FLOOR)
     clear = F.col("score") - F.col("second") >= MARGIN
@@ -262,7 +295,7 @@ def fuzzy_narration(credits: DataFrame, batches: DataFrame, rates: DataFrame | N
     )
 
 
-def shortfall(credits: DataFrame, batches: DataFrame, rates: DataFrame) -> DataFrame:
+def shortfall(credits: DataFrame, batches: DataFrame, rates: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     """Settled within a day and larger than the credit by no more than a fee stack can take."""
     bands = rates.select("merchant_id", widest_deduction().alias("band"))
     gap = F.col("expected_net") - F.col("amount")

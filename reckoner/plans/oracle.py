@@ -143,8 +143,8 @@ FROM u{i} u LEFT JOIN (SELECT * FROM scored{i} WHERE place = 1) USING (merchant_
     }
 
 
-def _rung(i: int, name: str) -> dict[str, str]:
-    """The expressions of one rung over credits u{i} and batches a{i}."""
+def _rung(i: int, name: str, anchored: bool = False) -> dict[str, str]:
+    """The expressions of one rung over credits u{i} and batches a{i}; anchored: and the outcome o{i - 1}."""
     near = lambda before, after: f"FROM u{i} c JOIN a{i} b ON b.merchant_id = c.merchant_id AND b.settled_on BETWEEN c.value_date - {before} AND c.value_date + {after}"
     out, fits = {}, ""
     if name == "exact":
@@ -158,15 +158,20 @@ def _rung(i: int, name: str) -> dict[str, str]:
         out[f"pool{i}"] = f"""
 SELECT * FROM (SELECT c.merchant_id, c.credit_id, c.amount, b.settlement_id, b.expected_net AS net, b.allowance,
        row_number() OVER (PARTITION BY c.merchant_id, c.credit_id ORDER BY b.expected_net DESC, b.settlement_id) AS place,
-       count(*) OVER (PARTITION BY c.merchant_id, c.credit_id) AS n {near(3, 1)} WHERE expected_net > 0 AND expected_net <= amount + allowance) WHERE n BETWEEN 2 AND 66"""
+       count(*) OVER (PARTITION BY c.merchant_id, c.credit_id) AS n {near(3, 1)} WHERE expected_net > 0 AND expected_net <= amount + allowance) WHERE n > 1"""
         two = f"pool{i} p JOIN pool{i} q ON p.merchant_id = q.merchant_id AND p.credit_id = q.credit_id AND p.place < q.place"
         three = f"{two} JOIN pool{i} s ON p.merchant_id = s.merchant_id AND p.credit_id = s.credit_id AND q.place < s.place"
         sure = "CASE WHEN gap = 0 THEN 0.75::DOUBLE ELSE 0.65::DOUBLE END - 0.05::DOUBLE * (len(ids) - 2)"
+        if anchored:
+            out[f"n{i}"] = f"SELECT x.merchant_id, x.credit_id, list(x.settlement_id) AS anchors FROM (SELECT merchant_id, credit_id, unnest(withdrawn) AS settlement_id FROM o{i - 1}) x JOIN a{i} USING (merchant_id, settlement_id) GROUP BY ALL"
+            out[f"pool{i}"] = f"SELECT z.*, coalesce(anchors, []) AS anchors FROM ({out.pop(f'pool{i}')}) z LEFT JOIN n{i} USING (merchant_id, credit_id)"
+            sure = f"CASE WHEN len(anchors) > 0 THEN 0.15::DOUBLE ELSE 0.0::DOUBLE END + {sure}"
+        kept, named = (" AND list_has_all([p.settlement_id, q.settlement_id], p.anchors)", "p.anchors, ") if anchored else ("", "")
         fits = f"""SELECT merchant_id, credit_id, ids, {sure} AS sure FROM (
-SELECT p.merchant_id, p.credit_id, [p.settlement_id] AS ids, abs(p.amount - p.net) AS gap FROM pool{i} p WHERE abs(p.amount - p.net) <= p.allowance
-UNION ALL SELECT p.merchant_id, p.credit_id, [p.settlement_id, q.settlement_id], abs(p.amount - p.net - q.net) FROM {two} WHERE abs(p.amount - p.net - q.net) <= p.allowance + q.allowance
-UNION ALL SELECT p.merchant_id, p.credit_id, [p.settlement_id, q.settlement_id, s.settlement_id], abs(p.amount - p.net - q.net - s.net) FROM {three}
-WHERE abs(p.amount - p.net - q.net) > p.allowance + q.allowance AND abs(p.amount - p.net - q.net - s.net) <= p.allowance + q.allowance + s.allowance)"""
+SELECT p.merchant_id, p.credit_id, {named}[p.settlement_id] AS ids, abs(p.amount - p.net) AS gap FROM pool{i} p WHERE abs(p.amount - p.net) <= p.allowance{" AND (len(anchors) = 0 OR list_contains(anchors, settlement_id))" if anchored else ""}
+UNION ALL SELECT p.merchant_id, p.credit_id, {named}[p.settlement_id, q.settlement_id], abs(p.amount - p.net - q.net) FROM {two} WHERE abs(p.amount - p.net - q.net) <= p.allowance + q.allowance{kept}
+UNION ALL SELECT p.merchant_id, p.credit_id, {named}[p.settlement_id, q.settlement_id, s.settlement_id], abs(p.amount - p.net - q.net - s.net) FROM {three}
+WHERE NOT (abs(p.amount - p.net - q.net) <= p.allowance + q.allowance{kept}) AND abs(p.amount - p.net - q.net - s.net) <= p.allowance + q.allowance + s.allowance{" AND list_has_all([p.settlement_id, q.settlement_id, s.settlement_id], p.anchors)" if anchored else ""})"""
     if name == "fuzzy":
         return _similar(i) | _after(i)
     strategy = {"exact": "exact_utr", "amount": "amount_date", "subset": "subset_sum", "short": "shortfall"}[name]
@@ -216,17 +221,18 @@ def outcome_after(rungs: int, base: int = 0) -> str:
     return " UNION ALL ".join([*(f"SELECT * FROM o{i} WHERE verdict = 'MATCHED'" for i in range(base, last)), f"SELECT * FROM o{last}"])
 
 
-def _chain(names: tuple[str, ...], base: int) -> None:
+def _chain(names: tuple[str, ...], base: int, anchored: bool = False) -> None:
     """The rungs in order, numbered from base."""
     for i, name in enumerate(names, base):
         CTES[f"u{i}"] = "SELECT * FROM bank_credits" if i == base else f"SELECT * FROM bank_credits SEMI JOIN (SELECT * FROM o{i - 1} WHERE verdict <> 'MATCHED') USING (merchant_id, credit_id)"
         gone = " UNION ALL ".join(f"SELECT merchant_id, unnest(ids) AS settlement_id FROM o{j} WHERE verdict = 'MATCHED'" for j in range(base, i))
         CTES[f"a{i}"] = "SELECT * FROM batches" if i == base else f"SELECT * FROM batches ANTI JOIN ({gone}) USING (merchant_id, settlement_id)"
-        CTES.update(_rung(i, name))
+        CTES.update(_rung(i, name, anchored))
 
 
 _chain(FULL, 0)
 _chain(PLAIN, 20)
+_chain(PLAIN, 40, anchored=True)
 CTES |= {
     "outcome": outcome_after(len(FULL)),
     "claims": "SELECT merchant_id, credit_id, strategy, confidence, ids, true AS matched FROM outcome WHERE verdict = 'MATCHED' UNION ALL SELECT merchant_id, credit_id, strategy, confidence, withdrawn, false FROM outcome WHERE verdict <> 'MATCHED' AND len(withdrawn) > 0",

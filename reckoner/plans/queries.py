@@ -14,7 +14,7 @@ from ..operators import causes, contract, leaks, proofs, rungs, schedule, scorin
 from ..sources.ledger import load
 from ..sources.session import cut, stamp
 from .oracle import BAND, DUE, INR, PLAIN, PLATFORM, REFERENCE, SAID, STEM, days_after, days_between, outcome_after, rated, scored_after, total, with_ctes
-from .reconcile import run_of
+from .reconcile import cascade, run_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -315,6 +315,26 @@ def j9_cascade_plain(spark, d):
     return _outcome(run_of(spark, d, rungs.PLAIN_RUNGS))
 
 
+@query(f"SELECT {_COLUMNS} FROM ({outcome_after(len(PLAIN), 40)})")
+def j9_cascade_anchored(spark, d):
+    """The plain cascade with rungs that are told the outcome so far."""
+    ledger, run = load(spark, d), _run(spark, d)
+    done = cascade(ledger.credits, run.batches, run.rates, rungs.PLAIN_RUNGS, anchored=True)
+    return done.select(*B.CREDIT, "strategy", "verdict", _list("settlement_ids"), "confidence", _list("withdrawn_ids"), _list("contested_by"))
+
+
+@query("SELECT merchant_id, credit_id, verdict, array_to_string(ids, ',') AS settlement_ids, array_to_string(candidates, ',') AS candidates, confidence FROM t42")
+def j3_anchored_sums(spark, d):
+    """Sums over what two rungs left, each credit's withdrawn claim a part of the answer."""
+    run = _run(spark, d)
+    credits = run.ledger.credits
+    prior = cascade(credits, run.batches, run.rates, (rungs.exact_reference, rungs.amount_and_date))
+    left = prior.filter("verdict <> 'MATCHED'")
+    claimed = prior.filter("verdict = 'MATCHED'").select("merchant_id", F.explode("settlement_ids").alias("settlement_id"))
+    sums = rungs.subset_sum(credits.join(left.select(*B.CREDIT), B.CREDIT, "left_semi"), run.batches.join(claimed, B.KEY, "left_anti"), run.rates, left)
+    return sums.select(*B.CREDIT, "verdict", _list("settlement_ids"), _list("candidates"), "confidence")
+
+
 @query(f"SELECT {_COLUMNS} FROM outcome")
 def s2_saved_and_reconciled(spark, d):
     """The four tables saved, read again as given ones and reconciled: the same outcomes."""

@@ -16,12 +16,15 @@ from ..sources.ledger import Ledger, load
 from ..sources.session import cut, stamp
 
 
-def cascade(credits: DataFrame, batches: DataFrame, rates: DataFrame, rungs=RUNGS) -> DataFrame:
-    """The outcome of every credit. A rung sees the credits still open and the payouts unclaimed when it starts."""
-    return cascade_steps(credits, batches, rates, rungs)[-1]
+def cascade(credits: DataFrame, batches: DataFrame, rates: DataFrame, rungs=RUNGS, anchored: bool = False) -> DataFrame:
+    """The outcome of every credit. A rung sees the credits still open and the payouts unclaimed when it starts.
+
+    anchored: rungs are told the outcome so far, so that a withdrawn claim narrows the search for sums.
+    """
+    return cascade_steps(credits, batches, rates, rungs, anchored)[-1]
 
 
-def cascade_steps(credits: DataFrame, batches: DataFrame, rates: DataFrame, rungs=RUNGS) -> list[DataFrame]:
+def cascade_steps(credits: DataFrame, batches: DataFrame, rates: DataFrame, rungs=RUNGS, anchored: bool = False) -> list[DataFrame]:
     """The outcome of every credit after each rung: what a cascade of only so many rungs would give.
 
     A rung is written twice, as attempts and as outcomes; what is open follows from the outcomes.
@@ -29,7 +32,7 @@ def cascade_steps(credits: DataFrame, batches: DataFrame, rates: DataFrame, rung
     steps = []
     open_credits, open_batches, outcome, done = credits, batches, None, []
     for rung in rungs:
-        attempts = cut(rung(open_credits, open_batches, rates))
+        attempts = cut(rung(open_credits, open_batches, rates, outcome if anchored else None))
         after = cut(C.fold(outcome, C.demote_contested(C.veto(attempts, open_credits, batches))))
         done.append(after.filter("verdict = 'MATCHED'"))
         outcome = after.filter("verdict <> 'MATCHED'")
@@ -55,10 +58,10 @@ class Run:
     shortfalls: DataFrame
 
 
-def reconcile(ledger: Ledger, rungs=RUNGS, rates: DataFrame | None = None) -> Run:
+def reconcile(ledger: Ledger, rungs=RUNGS, rates: DataFrame | None = None, anchored: bool = False) -> Run:
     batches = cut(rebuild(ledger.rows))
     rates = cut(rates if rates is not None else rate_cards(ledger.rows))
-    return _run(ledger, batches, rates, cut(cascade(ledger.credits, batches, rates, rungs)))
+    return _run(ledger, batches, rates, cut(cascade(ledger.credits, batches, rates, rungs, anchored)))
 
 
 def ablation(ledger: Ledger, batches: DataFrame, rates: DataFrame, rungs=RUNGS) -> list[Run]:

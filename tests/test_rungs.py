@@ -80,6 +80,107 @@ def test_subset_sum(made):
     assert (r.verdict, len(r.settlement_ids), r.confidence) == ("MATCHED", 3, pytest.approx(0.70))
 
 
+def brute_sums(amount, pool, anchors=()):
+    """Ids of every fitting combination. pool: (id, net, allowance), largest first."""
+    import numpy as np
+
+    net, slack = (np.array([p[k] for p in pool]) for k in (1, 2))
+    named = {k for k, p in enumerate(pool) if p[0] in anchors}
+    first, second = np.triu_indices(len(pool), 1)
+    both = abs(amount - net[first] - net[second]) <= slack[first] + slack[second]
+    has = np.array([named <= {a, b} for a, b in zip(first, second)]) if named else np.ones(len(first), bool)
+    found = [(k,) for k in range(len(pool)) if abs(amount - net[k]) <= slack[k] and (not named or k in named)]
+    found += [(a, b) for a, b in zip(first[both & has].tolist(), second[both & has].tolist())]
+    for k in range(len(pool)):
+        fit = (second < k) & ~(both & has) & (abs(amount - net[first] - net[second] - net[k]) <= slack[first] + slack[second] + slack[k])
+        found += [(a, b, k) for a, b in zip(first[fit].tolist(), second[fit].tolist()) if named <= {a, b, k}]
+    return [sorted(pool[k][0] for k in combination) for combination in found]
+
+
+@pytest.mark.parametrize("size, most", [(70, 10**6), (70, 4000), (500, 10**9)])
+def test_large_pools_are_searched(spark, size, most):
+    import random
+
+    rng = random.Random(size + most)
+    pool = sorted(((f"s{k}", rng.randint(1, most), rng.randint(1, 9)) for k in range(size)), key=lambda p: (-p[1], p[0]))
+    batches = spark.createDataFrame([(1, i, D + dt.timedelta(rng.choice([-3, -2, 0, 1])), n, a) for i, n, a in pool] + [(1, "far", D + dt.timedelta(5), 50, 1)], "merchant_id long, settlement_id string, settled_on date, expected_net long, allowance long")
+    amounts = {f"c{k}": sum(p[1] for p in rng.sample(pool, k % 4 or 1)) + k % 3 for k in range(12)}
+    credits = spark.createDataFrame([(1, i, a, D, "x", None) for i, a in amounts.items()], CREDIT)
+    prior = spark.createDataFrame([(1, "c2", ["s1"]), (1, "c3", [pool[0][0], "gone"]), (1, "c6", [])], "merchant_id long, credit_id string, withdrawn_ids array<string>")
+    for before, anchors in ((None, {}), (prior, {"c2": ["s1"], "c3": [pool[0][0]]})):
+        for r in rungs.subset_sum(credits, batches, prior=before).collect():
+            mine = [p for p in pool if p[1] <= amounts[r.credit_id] + p[2]]
+            named = anchors.get(r.credit_id, [])
+            found = brute_sums(amounts[r.credit_id], mine, named) if len(mine) > 1 and set(named) <= {p[0] for p in mine} else []
+            assert r.verdict == ("NO_CANDIDATE", "MATCHED", "AMBIGUOUS")[min(2, len(found))], r
+            assert r.candidates == sorted({i for f in found for i in f})
+            assert r.settlement_ids == (found[0] if len(found) == 1 else [])
+
+
+def test_a_withdrawn_reference_settles_two_sums(made, spark):
+    rows = [pay("a", 1_000_000), pay("b", 2_500_000), pay("c", 1_500_000), pay("d", 2_000_000)]
+    credits, batches, _, _ = made(rows, [("x", net(1_000_000) + net(2_500_000), D, "x", None)])
+    said = lambda *ids: spark.createDataFrame([(1, "x", list(ids))], "merchant_id long, credit_id string, withdrawn_ids array<string>")
+    assert one(rungs.subset_sum(credits, batches)).verdict == "AMBIGUOUS"
+    r = one(rungs.subset_sum(credits, batches, prior=said("a")))
+    assert (r.verdict, r.settlement_ids, r.confidence) == ("MATCHED", ["a", "b"], pytest.approx(0.90))
+    assert one(rungs.subset_sum(credits, batches.filter("settlement_id <> 'a'"), prior=said("a"))).settlement_ids == ["c", "d"]  # claimed by another credit
+    assert one(rungs.subset_sum(credits, batches, prior=said("a", "c"))).verdict == "NO_CANDIDATE"
+    early = made([*rows, pay("old", 5, day=D - dt.timedelta(30))], [])[1]
+    assert one(rungs.subset_sum(credits, early, prior=said("old"))).verdict == "NO_CANDIDATE"
+
+
+def test_cascade_with_anchors(made):
+    """A credit for two payouts quotes one of them, and two pairs add up alike."""
+    rows = [pay("a", 1_000_000, "UTR00000000A"), pay("b", 2_500_000), pay("c", 1_500_000), pay("d", 2_000_000)]
+    credits, batches, rates, _ = made(rows, [("x", net(1_000_000) + net(2_500_000), D, "UTR00000000A", None)])
+    plain = one(cascade(credits, batches, rates, rungs.PLAIN_RUNGS))
+    assert (plain.verdict, plain.withdrawn_ids) == ("AMBIGUOUS", ["a"])
+    r = one(cascade(credits, batches, rates, rungs.PLAIN_RUNGS, anchored=True))
+    assert (r.verdict, r.strategy, r.settlement_ids) == ("MATCHED", "subset_sum", ["a", "b"])
+
+
+def joined(df):
+    """Rows that come out of the joins of a frame that has been run."""
+    found, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+            name = node.nodeName()
+        if "Join" in name:
+            found += node.metrics().get("numOutputRows").get().value()
+        stack += [node.children().apply(i) for i in range(node.children().size())] + ([node.plan()] if "QueryStage" in name else [])
+    return found
+
+
+def test_strangers_do_not_meet(spark):
+    """Narrations and references without a pair in common make no rows, however many a merchant has."""
+    said = spark.createDataFrame([(1, f"c{i}", f"{'ACEGIKMOQS'[i % 10]}{'BDFHJLNPRT'[i // 10 % 10]}" * 8) for i in range(300)], "merchant_id long, credit_id string, said string")
+    open_ = spark.createDataFrame([(1, f"s{i}", f"{i:03d}{(i * 7) % 1000:03d}{i:03d}456") for i in range(400)], "merchant_id long, settlement_id string, reference string")
+    met = rungs._sharing(said, open_, rungs._bound(rungs.FLOOR), rungs.F.lit(rungs.no_pair_up_to(rungs.FLOOR)))
+    assert met.collect() == [] and joined(met) == 0
+
+
+def test_short_references(made):
+    """All-pairs scores of short and odd references, by brute force."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    letters = "ABC12"
+    refs = ["".join(rng.choices(letters, k=n)) for n in (1, 1, 2, 2, 3, 3, 4, 5, 6, 7, 8, 9, 12) for _ in range(3)]
+    texts = ["".join(rng.choices(letters, k=n)) for n in (1, 1, 2, 3, 4, 6, 8, 12, 16) for _ in range(4)]
+    credits, batches, _, _ = made([pay(f"s{i}", 10_000, u) for i, u in enumerate(refs)], [(f"c{i}", 5, D, t, None) for i, t in enumerate(texts)])
+    score = {(i, j): rungs.best_window_ratio(u, t) for (i, t), (j, u) in itertools.product(enumerate(texts), enumerate(refs))}
+    got = {r.credit_id: (r.score, r.second) for r in rungs.fuzzy_scores(credits, batches).collect()}
+    for i in range(len(texts)):
+        best, second = sorted((score[i, j] for j in range(len(refs))), reverse=True)[:2]
+        want = (best, second if best - second < rungs.MARGIN else 0.0) if best >= rungs.FLOOR else None
+        assert got.get(f"c{i}") == (pytest.approx(want) if want else None)
+
+
 def test_fuzzy(made):
     credits, batches, rates, _ = made([pay("s1", 10_000, "EIQO7RMB8Q93"), pay("s2", 20_000, "ZZTOP1234567")], [("c", 5, D, "NEFT CR EIQO7RMB8Q", None)])
     r = one(rungs.fuzzy_narration(credits, batches))
