@@ -216,12 +216,35 @@ def unique_keys(cells: DataFrame) -> DataFrame:
     return counts.filter((F.col("rows") >= MINIMUM_ROWS) & (F.col("blank") == 0) & (F.col("distinct") == F.col("rows"))).select(*COLUMN, "rows")
 
 
+def _grams(text: Column) -> Column:
+    """Every run of QUOTED_CHARS characters."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - QUOTED_CHARS + 1), lambda i: F.substring(text, i, F.lit(QUOTED_CHARS))))
+
+
+def quoted_values(cells: DataFrame, narrations: DataFrame) -> DataFrame:
+    """How many of each column's longer values a bank quoted, anywhere in its narrations. narrations: text.
+
+    A value is looked up by its rarest run of QUOTED_CHARS characters in an index of all
+    such runs of the narrations, and then compared in full: a value one of whose runs no
+    narration has is not quoted.
+    """
+    texts = narrations.select("text").filter(F.length("text") >= QUOTED_CHARS).distinct()
+    index = texts.select("text", F.explode(_grams(F.col("text"))).alias("gram"))
+    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    values = cut(_filled(cells).select(*COLUMN, F.trim("value").alias("value")).filter(F.length("value") >= QUOTED_CHARS).distinct())
+    asked = values.select("value").distinct().select("value", F.explode(_grams(F.col("value"))).alias("gram")).join(often, "gram", "left")
+    rarest = asked.groupBy("value").agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram")).alias("least")).filter("least.often > 0").select("value", F.col("least.gram").alias("gram"))
+    said = rarest.join(index, "gram").filter(F.contains("text", "value")).select("value", F.lit(1).alias("hit")).distinct()
+    return values.join(said, "value", "left").groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("distinct"), F.count("hit").alias("found"))
+
+
+def is_quoted(quota: float = QUOTED) -> Column:
+    """Whether such counts make a column one that the bank echoes."""
+    return (F.col("distinct") >= MINIMUM_ROWS) & (F.col("found") >= MINIMUM_ROWS) & (F.col("found") >= F.col("distinct") * quota)
+
+
 def quoted_columns(cells: DataFrame, narrations: DataFrame, quota: float = QUOTED) -> DataFrame:
-    """Columns whose values a bank quoted: whole runs of letters, digits and underscores in its narrations. narrations: text."""
-    said = narrations.select(F.explode(F.regexp_extract_all("text", F.lit(r"(\w+)"), 1)).alias("value")).filter(F.length("value") >= QUOTED_CHARS).select("value", F.lit(1).alias("hit")).distinct()
-    values = _filled(cells).select(*COLUMN, F.trim("value").alias("value")).filter(F.length("value") >= QUOTED_CHARS).distinct()
-    counts = values.join(said, "value", "left").groupBy(*COLUMN).agg(F.count(F.lit(1)).alias("distinct"), F.count("hit").alias("found"))
-    return counts.filter((F.col("distinct") >= MINIMUM_ROWS) & (F.col("found") >= MINIMUM_ROWS) & (F.col("found") >= F.col("distinct") * quota))
+    return quoted_values(cells, narrations).filter(is_quoted(quota))
 
 
 def paired_columns(cells: DataFrame, against: DataFrame) -> DataFrame:

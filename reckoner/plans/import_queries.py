@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import money, text, vocabulary
@@ -14,7 +15,7 @@ from ..sources import statements
 from ..sources.fields import field_rows, field_table
 from ..sources.ledger import load
 from ..sources.session import cut, stamp
-from .oracle import CTES, quoted
+from .oracle import CTES, PLAIN, outcome_after, quoted
 from .queries import query
 
 MAPPING = {
@@ -96,19 +97,28 @@ def f7_normalise_name(spark, d):
     return _cells(spark, d).select("file", "col").distinct().withColumn("name", text.normalise_name(F.col("col")))
 
 
-@query("SELECT file, line + 3 AS line, col, trim(value) AS value FROM cells WHERE file LIKE 'bank%'")
-def s4_read_delimited(spark, d):
-    """Bank statements written out as text with a banner, a blank line and a closing line, and read again."""
-    cells = _of(spark, d, "bank")
-    names = [n for n, _ in statements.BANK]
-    quote = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+def _as_text(cells: DataFrame, names: list[str]) -> DataFrame:
+    """Files (file, line, text) with a banner, a blank line, a header, quoted fields and a closing line. Quotes inside fields are doubled; line breaks inside them stay."""
+    quote = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     wide = cells.groupBy("file", "line").pivot("col", names).agg(F.first("value"))
-    body = wide.select("file", (F.col("line") + 3).alias("line"), F.concat_ws(",", *[quote(F.col(f"`{n}`")) for n in names]).alias("text"))
+    body = wide.select("file", (F.col("line") + 3).alias("line"), F.concat_ws(",", *[quote(F.coalesce(F.col(f"`{n}`"), F.lit(""))) for n in names]).alias("text"))
     files = cells.groupBy("file").agg((F.max("line") + 4).alias("last"))
     head = lambda no, what: files.select("file", F.lit(no).cast("long").alias("line"), F.lit(what).alias("text"))
     closing = files.select("file", F.col("last").alias("line"), F.lit("*** End of Statement ***" + "," * (len(names) - 1)).alias("text"))
-    lines = body.unionByName(head(1, "Statement of account")).unionByName(head(2, "")).unionByName(head(3, ",".join(names))).unionByName(closing)
-    return statements.read_delimited(lines)
+    logical = body.unionByName(head(1, "Statement of account")).unionByName(head(2, "")).unionByName(head(3, ",".join(names))).unionByName(closing)
+    parts = logical.select("file", "line", F.posexplode(F.split("text", "\n")).alias("part", "text"))
+    return parts.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("line", "part")).cast("long")).drop("part")
+
+
+#: A statement's remarks with a line break in every seventh and a quote in every fifth.
+_BROKEN = "CASE WHEN col = 'Transaction Remarks' AND line % 7 = 0 THEN value || chr(10) || 'second, line' WHEN col = 'Transaction Remarks' AND line % 5 = 0 THEN 'paid \"' || value || '\"' ELSE value END"
+
+
+@query(f"SELECT file, 3 + line + line // 7 AS line, col, trim({_BROKEN}) AS value FROM cells WHERE file LIKE 'bank%'")
+def s4_read_delimited(spark, d):
+    """Bank statements written out as text, some remarks over two lines and some with quotes, and read again."""
+    cells = _of(spark, d, "bank").withColumn("value", F.expr(_BROKEN.replace("chr(10)", "char(10)")))
+    return statements.read_delimited(_as_text(cells, [n for n, _ in statements.BANK]))
 
 
 _BANK_NEXT = "SELECT file, line, max(paise) FILTER (WHERE col = 'Deposit Amount (INR )') AS amount, max(paise) FILTER (WHERE col = 'Withdrawal Amount (INR )') AS debit, max(value) FILTER (WHERE col = 'Value Date') AS v, max(value) FILTER (WHERE col = 'Transaction Remarks') AS narration, nullif(max(value) FILTER (WHERE col = 'Cheque Number'), '') AS utr FROM read WHERE file LIKE 'bank%' GROUP BY file, line"
@@ -146,6 +156,70 @@ def s9_stacked_counts(spark, d):
     })
 
 
+#: Second forms of bank statements and reports, with names that a header alone tells.
+_BANK_TWO = {"Posting Date": "Value Date", "Particulars": "Transaction Remarks", "Debit Amount": "Withdrawal Amount (INR )", "Credit Amount": "Deposit Amount (INR )", "Reference No": "Cheque Number"}
+_GATEWAY_TWO = {f: c for f, c in MAPPING["gateway"].items()}
+
+
+def _folder(spark, d) -> DataFrame:
+    """Text files for each merchant: two banks and two gateways that share its lines, payments and orders. Even lines stay in the first form, odd ones take the second, with other headers and dates written year first."""
+    cells = _cells(spark, d)
+    kind = F.regexp_extract("file", "^([a-z]+)_", 1)
+    odd = kind.isin("bank", "gateway") & (F.col("line") % 2 == 1)
+    names = {c: f for f, c in {**_BANK_TWO, **_GATEWAY_TWO}.items()}
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    dated = F.col("col").isin("Value Date", "Payout Date", "Txn Date") & (F.col("value") != "")
+    part = F.split("value", "-")
+    second = cells.filter(odd & F.col("col").isin(*names)).select(F.regexp_replace("file", "_", "two_").alias("file"), ((F.col("line") + 1) / 2).cast("long").alias("line"), F.element_at(table, F.col("col")).alias("col"), F.when(dated, F.concat_ws("/", part[2], part[1], part[0])).otherwise(F.col("value")).alias("value"))
+    first = cells.filter(~odd).withColumn("line", F.when(kind.isin("bank", "gateway"), F.col("line") / 2).otherwise(F.col("line")).cast("long"))
+    first, second = cut(first), cut(second)
+    of = lambda df, k: df.filter(F.col("file").startswith(f"{k}_"))
+    forms = [(of(first, "bank"), [n for n, _ in statements.BANK]), (of(first, "gateway"), [n for n, _ in statements.GATEWAY]), (of(first, "payments"), [n for n, _ in statements.PAYMENTS]), (of(first, "orders"), [n for n, _ in statements.ORDERS])]
+    forms += [(of(second, "banktwo"), list(_BANK_TWO)), (of(second, "gatewaytwo"), list(_GATEWAY_TWO))]
+    texts = [_as_text(df, columns) for df, columns in forms]
+    return cut(functools.reduce(DataFrame.unionByName, texts))
+
+
+def _answers(lines: DataFrame) -> DataFrame:
+    """What a person would answer for the first forms: their fields' columns."""
+    kinds = {"bank": "bank_credits", "gateway": "settlement_rows"}
+    pairs = F.array(*[F.struct(F.lit(k).alias("prefix"), F.lit(kinds[k]).alias("kind"), F.lit(f).alias("field"), F.lit(c).alias("col")) for k in kinds for f, c in MAPPING[k].items()])
+    return lines.select("file").distinct().select("file", F.explode(pairs).alias("p")).filter(F.col("file").startswith(F.concat("p.prefix", F.lit("_")))).select("file", "p.kind", "p.field", "p.col")
+
+
+def _imported(spark, d):
+    from .importing import import_folder
+
+    key = ("imported", spark.sparkContext.applicationId, *stamp(spark, f"{d}/orders.parquet"))
+    if key not in _kept:
+        lines = _folder(spark, d)
+        files = lines.select("file").distinct().withColumn("merchant_id", F.regexp_extract("file", r"_(\d+)$", 1).cast("long"))
+        _kept[key] = import_folder(lines, files, _answers(lines))
+    return _kept[key]
+
+
+_kept: dict = {}
+
+
+@query("SELECT merchant_id, kind, kept, CAST(0 AS BIGINT) AS dropped FROM (SELECT merchant_id, 'orders' AS kind, count(*) AS kept FROM ledger_orders GROUP BY ALL UNION ALL SELECT merchant_id, 'payments', count(*) FROM payments GROUP BY ALL UNION ALL SELECT merchant_id, 'settlement_rows', count(*) FROM settlement_rows GROUP BY ALL UNION ALL SELECT merchant_id, 'bank_credits', count(*) FROM bank_credits GROUP BY ALL)")
+def s9_folder_counts(spark, d):
+    """Rows kept and dropped of each kind and merchant, from a folder of text files in several forms."""
+    return _imported(spark, d).counts
+
+
+CTES["imported_ids"] = "SELECT merchant_id, credit_id, format('bank_{:05d}', row_number() OVER (PARTITION BY merchant_id ORDER BY line % 2, line)) AS new_id FROM bank_lines"
+
+
+@query(f"SELECT merchant_id, new_id AS credit_id, strategy, verdict, array_to_string(ids, ',') AS settlement_ids, confidence FROM ({outcome_after(len(PLAIN), 20)}) JOIN imported_ids USING (merchant_id, credit_id)")
+def s9_folder_to_run(spark, d):
+    """The plain cascade over what the folder's files say: one run from text to outcomes, credits numbered over a merchant's files."""
+    from ..operators.rungs import PLAIN_RUNGS
+    from .reconcile import reconcile
+
+    run = reconcile(_imported(spark, d).ledger, PLAIN_RUNGS)
+    return run.outcome.select("merchant_id", "credit_id", "strategy", "verdict", F.array_join("settlement_ids", ",").alias("settlement_ids"), "confidence")
+
+
 _SHARE = lambda c, n: f"coalesce(count({c}) FILTER (WHERE trim(value) <> '') / nullif(count(*) FILTER (WHERE trim(value) <> ''), 0), 0.0) AS {n}"
 
 
@@ -159,9 +233,6 @@ def p2_date_patterns(spark, d):
     return P.date_patterns(_cells(spark, d)).select("file", "col", F.array_join("patterns", " | ").alias("patterns"), "conflict")
 
 
-_kept: dict = {}
-
-
 def _fitting(spark, d) -> DataFrame:
     key = (spark.sparkContext.applicationId, *stamp(spark, f"{d}/orders.parquet"))
     if key not in _kept:
@@ -287,11 +358,11 @@ def p12_unique_keys(spark, d):
     return P.unique_keys(_cells(spark, d))
 
 
-@query(r"SELECT file, col, count(*) AS distinct_values, count(hit) AS found FROM (SELECT DISTINCT file, col, trim(value) AS value FROM filled_cells WHERE file LIKE 'gateway%' AND length(trim(value)) >= 8) LEFT JOIN (SELECT DISTINCT unnest(regexp_extract_all(narration, '\w+')) AS value, 1 AS hit FROM bank_credits) USING (value) GROUP BY file, col HAVING count(*) >= 12 AND count(hit) >= 12 AND count(hit) >= 0.3 * count(*)")
+@query("SELECT file, col, count(*) AS distinct_values, count(*) FILTER (WHERE hit) AS found, count(*) >= 12 AND found >= 12 AND found >= 0.6 * count(*) AS quoted FROM (SELECT file, col, value, EXISTS (SELECT 1 FROM bank_credits WHERE contains(narration, value)) AS hit FROM (SELECT DISTINCT file, col, trim(value) AS value FROM filled_cells WHERE file LIKE 'gateway%' AND length(trim(value)) >= 8)) GROUP BY file, col")
 def p13_quoted_columns(spark, d):
-    """With a quota of 0.3: part of the references here are lost or cut on purpose."""
+    """Every column with its counts: here, too many references are lost on purpose for most files to reach the quota."""
     narrations = load(spark, d).credits.select(F.col("narration").alias("text"))
-    return P.quoted_columns(_of(spark, d, "gateway"), narrations, 0.3).withColumnRenamed("distinct", "distinct_values")
+    return P.quoted_values(_of(spark, d, "gateway"), narrations).withColumn("quoted", P.is_quoted()).withColumnRenamed("distinct", "distinct_values")
 
 
 @query("SELECT file, col, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT a.file, a.col, trim(a.value) AS own, trim(b.value) AS other, count(*) AS n FROM cells a JOIN cells b ON a.file = b.file AND a.line = b.line AND b.col = 'Bank Ref No' AND a.col <> b.col WHERE a.file LIKE 'gateway%' AND trim(a.value) <> '' AND trim(b.value) <> '' GROUP BY ALL) p WHERE NOT EXISTS (SELECT 1 FROM cells a JOIN cells b ON a.file = b.file AND a.line = b.line AND b.col = 'Bank Ref No' WHERE a.file = p.file AND a.col = p.col AND (trim(a.value) = '') <> (trim(b.value) = '')) GROUP BY file, col HAVING count(*) = count(DISTINCT own) AND count(*) = count(DISTINCT other) AND count(*) > 1 AND count(*) < sum(n) AND sum(n) >= 12")

@@ -28,15 +28,19 @@ def bank_credits(wide: DataFrame, pattern: str) -> DataFrame:
     empty = amount.isNull() | (amount == 0)
     status = F.when(empty & (F.coalesce(debit, F.lit(0)) != 0), "withdrawal").when(empty, "dropped").when(amount < 0, "withdrawal").when(day.isNull(), "dropped").otherwise("credit")
     reason = F.when((status == "dropped") & empty, "no credit amount on this line").when(status == "dropped", "unreadable date")
-    rows = wide.select("file", "line", status.alias("status"), reason.alias("reason"), amount.alias("amount"), day.alias("value_date"), F.trim("narration").alias("narration"), TEXT("utr").alias("utr"))
+    rows = wide.select(*_whose(wide), "file", "line", status.alias("status"), reason.alias("reason"), amount.alias("amount"), day.alias("value_date"), F.trim("narration").alias("narration"), TEXT("utr").alias("utr"))
     return _numbered(rows)
 
 
+def _whose(wide: DataFrame) -> list[str]:
+    return ["merchant_id"] if "merchant_id" in wide.columns else []
+
+
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Sequential ids over files and lines: counts by file first, so that no task holds all rows."""
+    """Sequential ids over files and lines, for each merchant where rows name one: counts by file first, so that no task holds all rows."""
     is_credit = F.col("status") == "credit"
-    per_file = rows.groupBy("file").agg(F.count_if(is_credit).alias("n"))
-    before = per_file.withColumn("before", F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))).select("file", F.coalesce("before", F.lit(0)).alias("before"))
+    per_file = rows.groupBy(*_whose(rows), "file").agg(F.count_if(is_credit).alias("n"))
+    before = per_file.withColumn("before", F.sum("n").over(Window.partitionBy(*_whose(rows)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1))).select("file", F.coalesce("before", F.lit(0)).alias("before"))
     place = F.sum(is_credit.cast("int")).over(Window.partitionBy("file").orderBy("line"))
     return rows.join(before, "file").withColumn("credit_id", F.when(is_credit, F.format_string("bank_%05d", F.col("before") + place))).drop("before")
 
@@ -49,7 +53,7 @@ def settlement_rows(wide: DataFrame, pattern: str, derive_sides: bool = False) -
     money = lambda name: F.coalesce(parse_money(F.col(name)), F.lit(0).cast("long"))
     debit, credit = sides(gross, kind) if derive_sides else (money("debit"), money("credit"))
     return wide.select(
-        "file", "line", reason.alias("reason"), TEXT("entity_id").alias("entity_id"), kind.alias("type"), debit.alias("debit"), credit.alias("credit"), F.abs(gross).alias("amount"),
+        *_whose(wide), "file", "line", reason.alias("reason"), TEXT("entity_id").alias("entity_id"), kind.alias("type"), debit.alias("debit"), credit.alias("credit"), F.abs(gross).alias("amount"),
         money("fee").alias("fee"), money("tax").alias("tax"), F.coalesce(parse_bool(F.col("on_hold")), F.lit(False)).alias("on_hold"), F.coalesce(parse_bool(F.col("settled")), F.lit(True)).alias("settled"),
         created.alias("created_on"), _date("settled_at", pattern).alias("settled_on"), *[TEXT(c).alias(c) for c in ("settlement_id", "settlement_utr", "order_id", "payment_id")],
         member_of(F.col("method"), METHOD).alias("method"), member_of(F.col("card_type"), CARD_TYPE).alias("card_type"),
@@ -68,13 +72,13 @@ def payments(wide: DataFrame, pattern: str) -> DataFrame:
     """Captures; an unknown method is a card, the slowest cycle."""
     amount, captured = parse_money(F.col("amount")), _date("captured_at", pattern)
     lacking = TEXT("payment_id").isNull() | TEXT("order_id").isNull() | amount.isNull() | captured.isNull()
-    return wide.select("file", "line", F.when(lacking, "missing an id, an amount or a date").alias("reason"), TEXT("payment_id").alias("payment_id"), TEXT("order_id").alias("order_id"), amount.alias("amount"), F.coalesce(member_of(F.col("method"), METHOD), F.lit("card")).alias("method"), member_of(F.col("card_type"), CARD_TYPE).alias("card_type"), captured.alias("captured_on"))
+    return wide.select(*_whose(wide), "file", "line", F.when(lacking, "missing an id, an amount or a date").alias("reason"), TEXT("payment_id").alias("payment_id"), TEXT("order_id").alias("order_id"), amount.alias("amount"), F.coalesce(member_of(F.col("method"), METHOD), F.lit("card")).alias("method"), member_of(F.col("card_type"), CARD_TYPE).alias("card_type"), captured.alias("captured_on"))
 
 
 def orders(wide: DataFrame, pattern: str) -> DataFrame:
     amount, created = parse_money(F.col("amount")), _date("created_at", pattern)
     lacking = TEXT("order_id").isNull() | amount.isNull() | created.isNull()
-    return wide.select("file", "line", F.when(lacking, "missing an id, an amount or a date").alias("reason"), TEXT("order_id").alias("order_id"), F.coalesce(TEXT("order_receipt"), TEXT("order_id")).alias("order_receipt"), amount.alias("amount"), F.coalesce(TEXT("currency"), F.lit("INR")).alias("currency"), created.alias("created_on"))
+    return wide.select(*_whose(wide), "file", "line", F.when(lacking, "missing an id, an amount or a date").alias("reason"), TEXT("order_id").alias("order_id"), F.coalesce(TEXT("order_receipt"), TEXT("order_id")).alias("order_receipt"), amount.alias("amount"), F.coalesce(TEXT("currency"), F.lit("INR")).alias("currency"), created.alias("created_on"))
 
 
 def counts(tables: dict[str, DataFrame]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import cut, stamp
@@ -66,30 +66,104 @@ def render(spark, sf_dir: str) -> DataFrame:
     return _kept[key]
 
 
+BLOCK_LINES = 1 << 16  # lines of a file that one task scans
+LONGEST_FIELD = 131_072  # characters; what is longer comes from a quote that nothing closes
+
+
+def _inside_after(text: Column, sep: str) -> tuple[Column, Column]:
+    """Whether a quoted field is still open after a line, if none was before it, and if one was.
+
+    A quote opens a field only as its first character; inside, two quotes are one.
+    """
+    quoted = r'[^"]*+(?:""[^"]*+)*+'
+    field = rf'(?:"{quoted}"[^{sep}]*+|[^{sep}"][^{sep}]*+|)'
+    opened = rf'^(?:{field}{sep})*+"{quoted}$'
+    closing = rf'^{quoted}"[^{sep}]*+{sep}?'
+    after = F.regexp_replace(text, closing, "")
+    return text.rlike(opened), ~text.rlike(rf'^{quoted}"') | (after.rlike(opened) & text.rlike(rf"{closing}"))
+
+
+def records(lines: DataFrame, delimiter: str = ",") -> DataFrame:
+    """Lines (file, line, text) as records: a quoted line break does not end one. line: the record's last.
+
+    What a line does to an open quote is one of four functions of two states. They are
+    composed over blocks of lines, then over a file's blocks, of which there are few, and
+    carried back, so that no task needs a whole file. A file whose last quote is never
+    closed, or opens a field of more than LONGEST_FIELD characters, gives one row with
+    refused set instead.
+    """
+    free, held = _inside_after(F.col("text"), re.escape(delimiter))
+    known = lines.select("file", "line", "text", F.floor(F.col("line") / BLOCK_LINES).alias("block"), free.alias("free"), held.alias("held"))
+    order = Window.partitionBy("file", "block").orderBy("line")
+    before, until = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    turns = F.col("free") & ~F.col("held")
+    known = known.withColumn("turned", F.sum(turns.cast("int")).over(until))
+    fixed = F.when(F.col("free") == F.col("held"), F.struct(F.col("free").alias("to"), F.col("turned").alias("at")))
+
+    def state(fixed: Column, turned: Column, carried: Column) -> Column:
+        """Of the last line that leaves one state whatever was before, and how often it turned since."""
+        return F.coalesce(fixed["to"], carried) != ((turned - F.coalesce(fixed["at"], F.lit(0))) % 2 == 1)
+
+    known = known.withColumn("fixed", fixed)
+    seen = known.withColumn("fixed_before", F.last("fixed", ignorenulls=True).over(before)).withColumn("turned_before", F.coalesce(F.lag("turned").over(order), F.lit(0)))
+    of_block = F.max_by(F.struct(F.col("fixed"), F.col("turned")), "line")
+    blocks = known.withColumn("fixed", F.last("fixed", ignorenulls=True).over(until)).groupBy("file", "block").agg(of_block.alias("end"))
+    by_block = Window.partitionBy("file").orderBy("block")
+    ends = blocks.select("file", "block", F.col("end.fixed").alias("fixed"), F.col("end.turned").alias("turned"))
+    # a block with a fixed line ends as that says; others turn what they are given
+    to = F.when(F.col("fixed").isNotNull(), state(F.col("fixed"), F.col("turned"), F.lit(False)))
+    ends = ends.withColumn("to", to).withColumn("total", F.sum(F.when(F.col("to").isNull(), F.col("turned")).otherwise(0)).over(by_block))
+    last_to = F.last(F.when(F.col("to").isNotNull(), F.struct("to", F.col("total").alias("at"))), ignorenulls=True).over(by_block)
+    ends = ends.withColumn("open", state(last_to, F.col("total"), F.lit(False)))
+    carry = ends.select("file", "block", F.coalesce(F.lag("open").over(by_block), F.lit(False)).alias("carried"))
+    starts = seen.join(carry, ["file", "block"]).select("file", "block", "line", "text", (~state(F.col("fixed_before"), F.col("turned_before"), F.col("carried"))).alias("starts"))
+    starts = starts.withColumn("start", F.last(F.when(F.col("starts"), F.col("line")), ignorenulls=True).over(until))
+    latest = starts.groupBy("file", "block").agg(F.max("start").alias("latest"))
+    latest = latest.select("file", "block", F.last("latest", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    placed = starts.join(latest, ["file", "block"]).select("file", "line", "text", F.coalesce("start", "earlier").alias("start"))
+    sizes = placed.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("size"))
+    never = ends.groupBy("file").agg(F.max_by("open", "block").alias("open")).filter("open").select("file")
+    huge = sizes.filter((F.col("n") > 1) & (F.col("size") > 128 * LONGEST_FIELD)).select("file")
+    refused = never.unionByName(huge).distinct()
+    glued = placed.join(refused, "file", "left_anti").groupBy("file", "start").agg(F.max("line").alias("line"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    glued = glued.select("file", "line", "text", F.lit(False).alias("refused"))
+    return glued.unionByName(refused.select("file", F.lit(0).cast("long").alias("line"), F.lit("").alias("text"), F.lit(True).alias("refused")))
+
+
+def _cells_of(text: Column, sep: str) -> Column:
+    """The fields of a record, unquoted and trimmed."""
+    quoted = r'"[^"]*+(?:""[^"]*+)*+"'
+    fields = F.regexp_extract_all(F.concat(F.lit(sep[-1]), text), F.lit(rf"{sep}({quoted}[^{sep}]*+|[^{sep}]*+)"), F.lit(1))
+    inner = lambda c: F.concat(F.replace(F.regexp_extract(c, r'^"([^"]*+(?:""[^"]*+)*+)"', 1), F.lit('""'), F.lit('"')), F.regexp_replace(c, rf"^{quoted}", ""))
+    return F.transform(fields, lambda c: F.regexp_replace(F.when(c.startswith('"'), inner(c)).otherwise(c), r"^\s+|\s+$", ""))
+
+
 def read_delimited(lines: DataFrame, delimiter: str = ",") -> DataFrame:
     """Cells of delimited text files (file, line, text), named by the header found in each.
 
-    The header is the first of the leading lines that is mostly words and whose
-    shape most lines below it share. Blank and repeated names are made distinct,
-    short rows are filled, blank rows and closing one-cell rows are dropped.
+    The header is the first of the leading records that is mostly words and whose
+    shape most records below it share. Blank and repeated names are made distinct,
+    short rows are filled, blank rows and closing one-cell rows are dropped. A file with
+    a quote that nothing closes gives no cells.
     """
     sep = re.escape(delimiter)
-    split = F.split(F.col("text"), rf'{sep}(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    clean = F.transform(split, lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r'^\s*"(.*)"\s*$', "$1"), '""', '"')))
-    rows = lines.select("file", "line", clean.alias("cells")).withColumn("width", F.size("cells"))
+    whole = cut(records(lines, delimiter).filter("NOT refused").select("file", "line", _cells_of(F.col("text"), sep).alias("cells")))
+    torn = whole.filter(F.exists("cells", lambda c: F.length(c) > LONGEST_FIELD)).select("file").distinct()
+    rows = whole.join(torn, "file", "left_anti").withColumn("width", F.size("cells"))
     filled = F.filter("cells", lambda c: c != "")
     rows = rows.withColumn("filled", F.size(filled)).withColumn("wordy", F.size(F.filter(filled, lambda c: c.rlike(r"\p{L}"))))
+    # the header stands among the leading records, so that only those are put in order
     by_line = Window.partitionBy("file").orderBy("line")
-    below = F.collect_list(F.when(F.col("filled") > 0, F.col("width"))).over(by_line.rowsBetween(1, SAMPLE_LINES))
-    rows = rows.withColumn("place", F.row_number().over(by_line)).withColumn("below", below)
+    top = rows.withColumn("place", F.row_number().over(by_line)).filter(F.col("place") <= PREAMBLE_LINES + SAMPLE_LINES)
+    top = top.withColumn("below", F.collect_list(F.when(F.col("filled") > 0, F.col("width"))).over(by_line.rowsBetween(1, SAMPLE_LINES)))
     agree = F.size(F.filter("below", lambda w: w == F.col("width")))
     header = (F.col("place") <= PREAMBLE_LINES) & (F.col("width") >= 2) & (F.col("filled") * 2 >= F.col("width")) & (F.col("wordy") * 2 >= F.col("filled")) & (F.size("below") > 0) & (agree * 2 >= F.size("below"))
-    heads = rows.filter(header).groupBy("file").agg(F.min(F.struct("place", "cells")).alias("head")).select("file", F.col("head.place").alias("head_place"), F.col("head.cells").alias("names"))
+    heads = top.filter(header).groupBy("file").agg(F.min(F.struct("line", "cells")).alias("head")).select("file", F.col("head.line").alias("head_line"), F.col("head.cells").alias("names"))
     numbered = F.transform("names", lambda n, i: F.when(n == "", F.concat(F.lit("column_"), (i + 1).cast("string"))).otherwise(n))
     heads = heads.withColumn("names", numbered)
     heads = heads.withColumn("names", F.transform("names", lambda n, i: F.when(F.array_position("names", n) < i + 1, F.concat(n, F.lit(" ("), (i + 1).cast("string"), F.lit(")"))).otherwise(n)))
-    body = rows.join(heads, "file").filter("place > head_place")
-    last = F.max(F.when(F.col("filled") != 1, F.col("place"))).over(Window.partitionBy("file"))
-    body = body.withColumn("last", last).filter((F.size("names") < 3) | (F.col("place") <= F.coalesce("last", F.lit(0)))).filter("filled > 0")
+    last = rows.groupBy("file").agg(F.max(F.when(F.col("filled") != 1, F.col("line"))).alias("last"))
+    body = rows.join(heads.join(last, "file"), "file").filter("line > head_line")
+    body = body.filter((F.size("names") < 3) | (F.col("line") <= F.coalesce("last", F.lit(0)))).filter("filled > 0")
     named = body.withColumn("values", F.transform("names", lambda n, i: F.coalesce(F.get("cells", i), F.lit("")))).withColumn("pair", F.explode(F.arrays_zip("names", "values")))
     return named.select("file", "line", F.col("pair.names").alias("col"), F.col("pair.values").alias("value"))
