@@ -42,10 +42,12 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|disqus|respond|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|copyright|skip)(?:$|[\s_-])",
-    re.I,
-)
+#: Words of class and id names for what stands beside an article; those in SURE say so anywhere in a name outside articles.
+SURE = frozenset("ads adsense advert adverts advertisement advertising sponsor sponsored sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead disqus cookie cookies consent gdpr newsletter pagination pager copyright".split())
+SIDE_WORDS = SURE | frozenset("ad banner promo promos promotion side header comment comments commentlist respond notice alert popup modal overlay subscribe signup share sharing social related recommended widget widgets toolbar skip".split())
+COMMENTS = frozenset("comment comments commentlist respond disqus".split())
+#: Words that add nothing to such a name: comment-list, share-buttons, site-header.
+PLAIN = frozenset("list box wrap wrapper container area section block bar button buttons link links post posts form inner outer slot unit item items panel group row col column site page global main top bottom left right primary secondary sticky fixed mobile desktop icon icons text body title".split())
 SIDE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 
 #: Comments, declarations and raw text as a whole, else a tag; whichever opens first.
@@ -60,15 +62,29 @@ _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*
 _WITHOUT = re.compile(r"\b(?:with|has|have|no|not|is|without)[-_]\S+", re.I)
 
 
+def _beside(name: str, in_article: bool) -> bool:
+    """Whether a class or id says that its element stands beside the article: all words of the name do, or add nothing; outside articles one sure word is enough."""
+    parts = [p for p in re.split(r"[-_\d]+", name.lower()) if p]
+    said = SIDE_WORDS - {"header"} if in_article else SIDE_WORDS
+    if not in_article and any(p in SURE for p in parts):
+        return True
+    return any(p in said for p in parts) and all(p in said or p in PLAIN for p in parts)
+
+
 def _aside(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in SIDE or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
     for name, *values in _NAMES.findall(attributes):
-        value, name = _WITHOUT.sub("", "".join(values)), name.lower()
-        if name in ("class", "id") and SIDE_WORDS.search(value) or name == "role" and value.lower() in SIDE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        value, name = "".join(values), name.lower()
+        if name == "role" and value.lower() in SIDE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
+        if name in ("class", "id") and tag != "header":
+            names = _WITHOUT.sub("", value).split()
+            # an article is set aside only as a reader's comment
+            if any(n.lower() in COMMENTS for n in names) if tag == "article" else any(_beside(n, in_article) for n in names):
+                return True
     return False
 
 

@@ -41,6 +41,18 @@ def test_layouts():
     assert H.main_text(page) == "Body text"
 
 
+def test_names_are_judged_as_wholes():
+    assert H.main_text("<article class='post comments-open'><p>Story</p></article><div>x</div>") == "Story"
+    assert H.main_text("<article><header class='entry-header'><h1>Title</h1></header><p>Text</p></article>") == "Title\nText"
+    assert H.main_text("<article><header class='header'><h1>Title</h1></header><p>Text</p></article>") == "Title\nText"
+    assert H.main_text("<article><p class='social-history'>One</p><div class='side-by-side'>Two</div><div class='related-work no-comments'>Three</div></article>") == "One\nTwo\nThree"
+    for name in ("comments", "comment-list", "share-buttons", "social", "ad-slot-3", "related_posts", "newsletter-form", "notice", "widget-area"):
+        assert H.main_text(f"<article><p>Story</p><div class='x {name}'>beside</div></article>") == "Story"
+    for name in ("site-footer", "global-nav", "cookie-banner", "td-menu-wrap", "header", "comments"):
+        assert H.main_text(f"<div class='entry'><p>{LONG}</p></div><div id='{name}'>{LONG} beside</div>") == LONG.strip()
+    assert H.main_text(f"<div class='post comments-open'><p>{LONG}</p></div>") == LONG.strip()
+
+
 def test_cases(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (2, None, "", "x"), (3, "u", "<nav>a</nav>", "x"), (4, "u", "plain words", "x"), (5, "u", "<article>" + "<p>w" * 50_000, "x"), (4, "u", "plain words", "x"), (6, "u", "<script>var a='<p>no</p>'", "x")], "page_id long, url string, html string, text string")
     got = [(r.page_id, r.text) for r in H.extract(pages).collect()]
