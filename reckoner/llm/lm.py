@@ -255,7 +255,7 @@ def head_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _score(model, head, log_size):
-    """Rows of two kinds: 1, what a document has from the model and the head words; 0, its count of another word."""
+    """Rows of two kinds: 1, what a document has from the model and the head words, with its place for a word, so that no key holds all documents; 0, its count of another word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = head.value
@@ -277,7 +277,7 @@ def _score(model, head, log_size):
             places = [batch.column(c) for c in ROW]
             total = lambda values: np.bincount(block.doc, weights=values, minlength=size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(size, np.int32)), pa.array(np.zeros(size, np.int64)), *places, batch.column("id"), pa.array(block.sizes), pa.array(total(logs)), pa.array(total(log_count)), pa.array(total(inside).astype(np.int64))],
+                [pa.array(np.ones(size, np.int32)), places[1], *places, batch.column("id"), pa.array(block.sizes), pa.array(total(logs)), pa.array(total(log_count)), pa.array(total(inside).astype(np.int64))],
                 names=PARTS,
             )
             rest = np.flatnonzero(~inside)
