@@ -41,7 +41,8 @@ def spread_lines(docs: DataFrame, site_col: str, text_col: str = "text", min_sit
     keys = F.array_distinct(F.transform(_lines(F.col(text_col)), _key))
     seen = docs.select(F.col(site_col).cast("string").alias("site"), F.explode(keys).alias("key")).filter("key IS NOT NULL")
     sketched = seen.groupBy("key").agg(F.hll_sketch_agg("site", LG_K).alias("sketch"), F.min("site").alias("low"), F.max("site").alias("high"))
-    guess = sketched.filter("low < high").select("key", F.hll_sketch_estimate("sketch").alias("sites"))
+    several = F.col("low") < F.col("high") if min_sites > 1 else F.col("low").isNotNull()
+    guess = sketched.filter(several).select("key", F.hll_sketch_estimate("sketch").alias("sites"))
     guess = cut(guess.filter(F.col("sites") >= min_sites * (1 - NEAR)))
     sure = guess.filter(F.col("sites") > min_sites * (1 + NEAR)).select("key")
     near = guess.filter(F.col("sites") <= min_sites * (1 + NEAR)).select("key")

@@ -22,7 +22,7 @@ def test_matches_brute_force(spark):
         rows.append((i, "\n".join(parts), f"s{i % (3 + i % 20)}"))
     rows.append((500, "everywhere\neverywhere", "s1"))
     docs = spark.createDataFrame([(a, b, c, 1) for a, b, c in rows], "doc_id long, text string, source string, n_lines long")
-    for least in (3, 10, 15):
+    for least in (1, 2, 3, 10, 15):
         got = L.remove_spread_lines(docs, "source", min_sites=least)
         assert sorted(map(tuple, got.collect())) == brute(rows, least)
     assert L.remove_spread_lines(docs.limit(0), "source").collect() == []
