@@ -1,7 +1,8 @@
 """Phrase collocations from an FM-index for each shard of words.
 
-Input tasks turn their texts into word ids, a shard for each language, of at most
-SHARD_WORDS words. For each shard an FM-index is built over word ids, sorted only as
+Input tasks turn their texts into word ids, a shard for each language; small shards of
+a language are then joined, in the order of their tasks, to shards of about SHARD_WORDS
+words, which share more of their counts than small ones. For each shard an FM-index is built over word ids, sorted only as
 deep as the longest phrase; its intervals are extended by one word to the left in
 the index of the text, or to the right in the index of the reversed text, in step
 in both, which enumerates the shard's n-grams with their counts. Counts are summed
@@ -37,7 +38,8 @@ LEAST = 30  # occurrences of a candidate
 WORDS = 4  # of the longest candidate
 COVERED = 80  # percent of a phrase's occurrences that lie in one longer candidate
 TOP = 2000
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 21
+NEAR_TASKS = 1024  # input tasks whose shards may be joined
 BODY_BYTES = 4 << 20  # texts that are split at once
 SALTS = 64  # parts of a language that are ranked apart first
 
@@ -106,10 +108,25 @@ def _encode(shard_words: int):
     return run
 
 
+def _join(key, parts):
+    """Shards of one language as one, under the smallest of their numbers."""
+    whole = Shard()
+    for words, codes in zip(parts.column("words"), parts.column("codes")):
+        own = np.array([*(whole.ids.setdefault(w, len(whole.ids)) for w in words.as_py()), END], np.int32)  # END, -1, finds the last
+        whole.codes.append(own[np.frombuffer(zstandard.decompress(codes.as_py()), np.int32)])
+    row = whole.row(parts.column("lang")[0].as_py(), min(parts.column("shard").to_pylist()))
+    return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SHARD)], schema=_SHARD)
+
+
 def shards_of(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row for each shard: its words, their counts, and its texts as word ids."""
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), utf8(F.col(text_col)).alias("body"))
-    return written(texts.mapInArrow(_encode(shard_words), _SHARD_DDL), "shards")
+    small = written(texts.mapInArrow(_encode(shard_words), _SHARD_DDL), "small-shards")
+    near = Window.partitionBy("lang", F.shiftright("shard", 32 + NEAR_TASKS.bit_length() - 1)).orderBy("shard")
+    before = F.sum("n_words").over(near) - F.col("n_words")
+    places = small.select("lang", "shard", "n_words").select("shard", F.shiftright("shard", 32 + NEAR_TASKS.bit_length() - 1).alias("near"), F.floor(before / shard_words).alias("part"))
+    joined = small.join(places, "shard").groupBy("lang", "near", "part").applyInArrow(_join, _SHARD_DDL)
+    return written(joined, "shards")
 
 
 class FmIndex:
