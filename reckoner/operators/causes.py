@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import GATEWAY_WORDS, payer_stem
 from ..sources.session import cut
+from .members import shown
 
 LEAST = 2
 BUCKET = "0.0002"
@@ -26,9 +27,13 @@ def _counted_twice(queue: DataFrame) -> DataFrame:
 
 
 def _whole_run(queue: DataFrame) -> DataFrame:
-    by_day = Window.partitionBy("merchant_id", "code", _e("settled_on"))
-    whole = (F.min(_e("batches_that_day")).over(by_day) == F.max(_e("batches_that_day")).over(by_day)) & (F.count(F.lit(1)).over(by_day) == _e("batches_that_day").cast("long"))
-    return queue.withColumn("key", F.when((F.col("code") == "MISSING_SETTLEMENT") & _e("settled_on").isNotNull() & whole, _e("settled_on")))
+    dated = (F.col("code") == "MISSING_SETTLEMENT") & _e("settled_on").isNotNull()
+    missing = queue.filter(dated).withColumn("day", _e("settled_on"))
+    that_day = _e("batches_that_day").cast("long")
+    days = missing.groupBy("merchant_id", "day").agg(F.min(that_day).alias("low"), F.max(that_day).alias("high"), F.count(F.lit(1)).alias("n"))
+    whole = days.filter("low = high AND n = low").select("merchant_id", "day", F.col("day").alias("key"))
+    rest = queue.filter(~dated).withColumn("key", F.lit(None).cast("string"))
+    return missing.join(whole, ["merchant_id", "day"], "left").select(*queue.columns, "key").unionByName(rest)
 
 
 def _by(key: Column):
@@ -80,37 +85,48 @@ def rules() -> list[tuple[str, object]]:
     return list(zip(CAUSES, found, strict=True))
 
 
-def _numbered(queue: DataFrame, no: int) -> DataFrame:
-    """queue with `key`, null where the rule's group is too small."""
-    keyed = rules()[no][1](queue)
-    size = F.count("key").over(Window.partitionBy("merchant_id", "key"))
-    return keyed.withColumn("key", F.when(size >= LEAST, F.col("key")))
+def _split(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key has LEAST of them, and all others. Only rows with a key meet by it, and their groups are counted before the shuffle."""
+    having = keyed.filter("key IS NOT NULL")
+    large = having.groupBy("merchant_id", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST).select("merchant_id", "key")
+    claimed = having.join(large, ["merchant_id", "key"], "left_semi")
+    return claimed, keyed.filter("key IS NULL").unionByName(having.join(large, ["merchant_id", "key"], "left_anti"))
 
 
 def one_rule(queue: DataFrame, no: int) -> DataFrame:
     """The causes that one rule finds in a whole queue."""
-    return _causes(_numbered(queue, no).filter("key IS NOT NULL").withColumn("rule_no", F.lit(no + 1)))
+    claimed, _ = _split(rules()[no][1](queue))
+    return _causes(claimed.withColumn("rule_no", F.lit(no + 1)).withColumnRenamed("key", "cause_key"))
+
+
+CAUSE = ["merchant_id", "rule_no", "cause_key"]
+
+
+def members(assigned: DataFrame) -> DataFrame:
+    """Every exception of each cause, a row each."""
+    return assigned.filter("rule_no IS NOT NULL").select(*CAUSE, "code", "subject_id", "amount")
 
 
 def _causes(claimed: DataFrame) -> DataFrame:
+    """Causes with their counts and the first of their members; all members are a table of their own."""
     names = F.element_at(F.array(*[F.lit(name) for name, _ in rules()]), F.col("rule_no"))
-    return claimed.groupBy("merchant_id", "rule_no", F.col("key").alias("cause_key")).agg(
+    counts = claimed.groupBy(*CAUSE).agg(
         F.count(F.lit(1)).alias("members"),
         F.sum(F.abs("amount")).alias("total"),
         F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("codes"),
-        F.sort_array(F.collect_list("subject_id")).alias("member_ids"),
         F.count_distinct(_e("recovered_by")).alias("batches_elsewhere"),
         F.mode(_e("method"), True).alias("usual_method"),
     ).withColumn("cause", names)
+    return counts.join(shown(claimed, CAUSE, "subject_id", "member_ids"), CAUSE)
 
 
 def assign(queue: DataFrame) -> DataFrame:
     """queue with rule_no and cause_key of the cause each exception belongs to, null where it is its own."""
     left, taken = queue, []
     for no in range(len(rules())):
-        keyed = cut(_numbered(left, no))
-        taken.append(keyed.filter("key IS NOT NULL").withColumn("rule_no", F.lit(no + 1)).withColumnRenamed("key", "cause_key"))
-        left = keyed.filter("key IS NULL").drop("key").select(*queue.columns)
+        claimed, rest = _split(cut(rules()[no][1](left)))
+        taken.append(claimed.withColumn("rule_no", F.lit(no + 1)).withColumnRenamed("key", "cause_key"))
+        left = rest.select(*queue.columns)
     whole = left.withColumn("rule_no", F.lit(None).cast("int")).withColumn("cause_key", F.lit(None).cast("string"))
     for part in taken:
         whole = whole.unionByName(part)
@@ -119,7 +135,7 @@ def assign(queue: DataFrame) -> DataFrame:
 
 def induce(queue: DataFrame) -> DataFrame:
     """The causes of each merchant, ranked by money, then size, then name."""
-    found = _causes(assign(queue).filter("rule_no IS NOT NULL").withColumnRenamed("cause_key", "key"))
+    found = _causes(cut(assign(queue).filter("rule_no IS NOT NULL")))
     order = Window.partitionBy("merchant_id").orderBy(F.desc("total"), F.desc("members"), "cause", "cause_key")
     return found.withColumn("place", F.row_number().over(order))
 

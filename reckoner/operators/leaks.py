@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import RATE, apply_rate
 from ..functions.rates import platform_rate
+from .members import shown
 
 
 def charged_above_contract(rows: DataFrame, rates: DataFrame) -> DataFrame:
@@ -41,20 +44,20 @@ def charged_above_contract(rows: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def clusters(leaks: DataFrame) -> DataFrame:
-    """Leaks by the pair of rates that caused them: counts, money, days, networks by frequency, payment ids."""
+    """Leaks by the pair of rates that caused them: counts, money, days, networks by frequency, the first payment ids. The leaks themselves name their cluster."""
     key = ["merchant_id", "contracted_rate", "charged_rate", "method", "card_type"]
     networks = leaks.filter("card_network IS NOT NULL").groupBy(*key, "card_network").agg(F.count(F.lit(1)).alias("n"))
     order = networks.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "card_network"))), lambda x: x["card_network"]).alias("networks"))
-    order = order.select(*[F.col(c).alias(f"_{c}") for c in key], "networks")
+    few = shown(leaks, key, "payment_id", "payment_ids")
     grouped = leaks.groupBy(*key).agg(
         F.count(F.lit(1)).alias("payments"), F.sum("overcharge").alias("overcharge"), F.sum("gst_on_overcharge").alias("gst"), F.sum("gross").alias("gross_affected"),
-        F.min("settled_on").alias("first_seen"), F.max("settled_on").alias("last_seen"), F.sort_array(F.collect_list("payment_id")).alias("payment_ids"),
+        F.min("settled_on").alias("first_seen"), F.max("settled_on").alias("last_seen"),
     )
-    same = None
-    for c in key:
-        this = F.col(c).eqNullSafe(F.col(f"_{c}"))
-        same = this if same is None else same & this
-    return grouped.join(order, same, "left").select(*key, "payments", "overcharge", "gst", "gross_affected", "first_seen", "last_seen", F.coalesce("networks", F.array().cast("array<string>")).alias("networks"), "payment_ids")
+    for part in (order, few):
+        theirs = part.select(*[F.col(c).alias(f"_{c}") for c in key], part.columns[-1])
+        same = functools.reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+        grouped = grouped.join(theirs, same, "left").drop(*[f"_{c}" for c in key])
+    return grouped.select(*key, "payments", "overcharge", "gst", "gross_affected", "first_seen", "last_seen", F.coalesce("networks", F.array().cast("array<string>")).alias("networks"), "payment_ids")
 
 
 def totals(leaks: DataFrame, rows: DataFrame) -> DataFrame:

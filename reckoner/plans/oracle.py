@@ -6,6 +6,7 @@ import re
 
 from ..functions.text import BANK_WORDS, GATEWAY_WORDS, RAILS, REFERENCE_NOISE
 from ..operators.causes import CAUSES, LEAST
+from ..operators.members import MOST_SHOWN
 from ..sources.ledger import BODIES, duckdb_body
 
 
@@ -304,7 +305,7 @@ def _cause_ctes() -> dict[str, str]:
     out["causes_found"] = f"""
 SELECT *, CAST(row_number() OVER (PARTITION BY merchant_id ORDER BY total DESC, members DESC, cause, cause_key) AS INTEGER) AS place
 FROM (SELECT merchant_id, cause, cause_key, count(*) AS members, {total('abs(amount)')} AS total, array_to_string(list_sort(list(DISTINCT code)), ', ') AS codes,
-      array_to_string(list_sort(list(subject_id)), ',') AS member_ids FROM caused GROUP BY merchant_id, rule_no, cause, cause_key)"""
+      array_to_string(list_sort(list(subject_id))[1:{MOST_SHOWN}], ',') AS member_ids FROM caused GROUP BY merchant_id, rule_no, cause, cause_key)"""
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar, money, rates, text
 from ..operators import batches as B
 from ..operators import causes, contract, leaks, proofs, rungs, schedule, scoring, triage
+from ..operators.members import MOST_SHOWN
 from ..sources.ledger import load
 from ..sources.session import cut, stamp
 from .oracle import BAND, DUE, INR, PLAIN, PLATFORM, REFERENCE, SAID, STEM, days_after, days_between, outcome_after, rated, scored_after, total, with_ctes
@@ -53,11 +55,50 @@ def s1_ledger(spark, d):
     return out
 
 
-@query("SELECT merchant_id, count(*) AS n, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', merchant_id, credit_id, amount, value_date, narration, coalesce(utr, ''))), 1, 12)) AS BIGINT)) AS BIGINT) AS digest FROM bank_credits GROUP BY merchant_id")
+_CREDIT_COLUMNS = ("merchant_id", "credit_id", "amount", "value_date", "narration", "utr")
+_HASHED = " || ".join(f"coalesce(CAST(length(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in _CREDIT_COLUMNS)
+
+
+@query(f"SELECT merchant_id, count(*) AS n, CAST(sum(CAST(('0x' || substr(md5({_HASHED}), 1, 12)) AS BIGINT)) % {1 << 62} AS BIGINT) AS digest FROM bank_credits GROUP BY merchant_id")
 def s3_fingerprint(spark, d):
     from ..sources.store import fingerprint
 
-    return fingerprint(load(spark, d).credits, ["merchant_id", "credit_id", "amount", "value_date", "narration", "utr"], ["merchant_id"])
+    return fingerprint(load(spark, d).credits, list(_CREDIT_COLUMNS), ["merchant_id"])
+
+
+def _moved(ledger):
+    """The ledger with its largest credits a paisa higher."""
+    most = ledger.credits.agg(F.max("amount")).first()[0]
+    credits = ledger.credits.withColumn("amount", F.col("amount") + F.when(F.col("amount") == most, 1).otherwise(0))
+    return dataclasses.replace(ledger, credits=credits)
+
+
+def _kept_run(spark, d) -> str:
+    """The folder of a kept run of the plain cascade over the ledger before its largest credits were mended."""
+    from ..sources.session import shared_dir
+    from .reconcile import reconcile
+    from .refresh import record
+
+    folder = f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+    record(reconcile(_moved(load(spark, d)), rungs.PLAIN_RUNGS), folder, rungs.PLAIN_RUNGS)
+    return folder
+
+
+@query("SELECT DISTINCT merchant_id FROM bank_credits WHERE amount = (SELECT max(amount) FROM bank_credits)")
+def s3_changed_merchants(spark, d):
+    """Whose tables differ from what a kept run read: here, those of the largest credits."""
+    from .refresh import changed_merchants
+
+    return changed_merchants(load(spark, d), _kept_run(spark, d), rungs.PLAIN_RUNGS)
+
+
+@query(f"SELECT merchant_id, credit_id, strategy, verdict, array_to_string(ids, ',') AS settlement_ids, confidence, array_to_string(withdrawn, ',') AS withdrawn_ids, array_to_string(contested, ',') AS contested_by FROM ({outcome_after(len(PLAIN), 20)})")
+def s3_refreshed_run(spark, d):
+    """A kept run renewed for changed merchants alone: the outcomes of a full run."""
+    from .refresh import refresh
+
+    done = refresh(load(spark, d), _kept_run(spark, d), rungs.PLAIN_RUNGS)
+    return done.select(*B.CREDIT, "strategy", "verdict", _list("settlement_ids"), "confidence", _list("withdrawn_ids"), _list("contested_by"))
 
 
 @query("SELECT o_orderkey, CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 100, 0) AS BIGINT) AS paise, CAST(CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * 100, 0) AS BIGINT) / 100 AS DECIMAL(22,2)) AS rupees FROM orders")
@@ -204,7 +245,7 @@ def _leaks(spark, d):
 
 _CLUSTERS = f"""SELECT merchant_id, CAST(contracted_rate AS DOUBLE) AS contracted_rate, CAST(charged_rate AS DOUBLE) AS charged_rate, method, card_type, payments, overcharge, gst, gross_affected, first_seen, last_seen, networks, payment_ids
 FROM (SELECT merchant_id, contracted_rate, CAST(round_even(CAST(fee AS DECIMAL(28,8)) / amount, 4) AS DECIMAL(6,4)) AS charged_rate, method, card_type, count(*) AS payments, {total('overcharge')} AS overcharge, {total('gst_on_overcharge')} AS gst, {total('amount')} AS gross_affected,
-             min(settled_on) AS first_seen, max(settled_on) AS last_seen, array_to_string(list_sort(list(coalesce(payment_id, entity_id))), ',') AS payment_ids FROM leaks GROUP BY ALL)
+             min(settled_on) AS first_seen, max(settled_on) AS last_seen, array_to_string(list_sort(list(coalesce(payment_id, entity_id)))[1:{MOST_SHOWN}], ',') AS payment_ids FROM leaks GROUP BY ALL)
 LEFT JOIN (SELECT merchant_id, contracted_rate, charged_rate, method, card_type, array_to_string(list(card_network ORDER BY n DESC, card_network), ',') AS networks
            FROM (SELECT merchant_id, contracted_rate, CAST(round_even(CAST(fee AS DECIMAL(28,8)) / amount, 4) AS DECIMAL(6,4)) AS charged_rate, method, card_type, card_network, count(*) AS n FROM leaks WHERE card_network IS NOT NULL GROUP BY ALL) GROUP BY ALL) USING (merchant_id, contracted_rate, charged_rate, method, card_type)"""
 
@@ -219,6 +260,12 @@ def a10_leak_clusters(spark, d):
     return _clusters(spark, d)
 
 
+@query("SELECT merchant_id, coalesce(payment_id, entity_id) AS payment_id, CAST(contracted_rate AS DOUBLE) AS contracted_rate, CAST(CAST(round_even(CAST(fee AS DECIMAL(28,8)) / amount, 4) AS DECIMAL(6,4)) AS DOUBLE) AS charged_rate, method, card_type FROM leaks")
+def a10_cluster_members(spark, d):
+    """Every leak with the cluster it belongs to."""
+    return _leaks(spark, d).select("merchant_id", "payment_id", *[F.col(c).cast("double").alias(c) for c in ("contracted_rate", "charged_rate")], "method", "card_type")
+
+
 @query(f"SELECT merchant_id, rows_examined, coalesce(payments, 0) AS payments, coalesce(overcharge, 0) AS overcharge, coalesce(gst, 0) AS gst, coalesce(overcharge, 0) + coalesce(gst, 0) AS cash_impact FROM (SELECT merchant_id, count(*) FILTER (WHERE type = 'payment') AS rows_examined FROM settlement_rows GROUP BY merchant_id) LEFT JOIN (SELECT merchant_id, count(*) AS payments, {total('overcharge')} AS overcharge, {total('gst_on_overcharge')} AS gst FROM leaks GROUP BY merchant_id) USING (merchant_id)")
 def a11_leak_totals(spark, d):
     return leaks.totals(_leaks(spark, d), load(spark, d).rows)
@@ -477,7 +524,7 @@ def c6_exception_queue(spark, d):
 
 
 def _rule_sql(no: int, key: str, where: str, source: str = "queue", having: str = "count(*) >= 2") -> str:
-    return f"SELECT merchant_id, {no} AS rule_no, CAST({key} AS VARCHAR) AS cause_key, count(*) AS members, {total('abs(amount)')} AS total, array_to_string(list_sort(list(subject_id)), ',') AS member_ids FROM {source} WHERE {where} GROUP BY merchant_id, {key} HAVING {having}"
+    return f"SELECT merchant_id, {no} AS rule_no, CAST({key} AS VARCHAR) AS cause_key, count(*) AS members, {total('abs(amount)')} AS total, array_to_string(list_sort(list(subject_id))[1:{MOST_SHOWN}], ',') AS member_ids FROM {source} WHERE {where} GROUP BY merchant_id, {key} HAVING {having}"
 
 
 _RULES = [
@@ -511,6 +558,12 @@ def c16_causes(spark, d):
     return causes.induce(_queue(spark, d)).select("merchant_id", "place", "cause", "cause_key", "members", "total", "codes", _list("member_ids"))
 
 
+@query("SELECT merchant_id, rule_no, cause_key, code, subject_id, amount FROM caused")
+def c16_cause_members(spark, d):
+    """Every exception with the cause it belongs to."""
+    return causes.members(causes.assign(_queue(spark, d)))
+
+
 @query(f"SELECT m.merchant_id, credited, coalesce(proved, 0) AS proved, coalesce(awaited, 0) AS awaited FROM (SELECT merchant_id, {total('amount')} AS credited FROM bank_credits GROUP BY ALL) m LEFT JOIN (SELECT merchant_id, {total('amount')} AS proved FROM proofs GROUP BY ALL) p USING (merchant_id) LEFT JOIN (SELECT merchant_id, {total('amount')} AS awaited FROM queue WHERE code IN ('MISSING_SETTLEMENT', 'UNSETTLED_PAYMENT') GROUP BY ALL) w USING (merchant_id)")
 def a13_cash_position(spark, d):
     from ..operators.reports import cash_position

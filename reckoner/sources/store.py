@@ -18,10 +18,15 @@ def save_ledger(ledger, folder: str) -> None:
 
 
 def fingerprint(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """Row count and a digest that no order of rows changes: the sum of 48 bits of each row's hash."""
-    whole = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    """Row count and a digest that no order of rows changes: the sum of 48 bits of each row's hash, modulo 2^62.
+
+    Each value is hashed with its length before it, so that nulls, empty texts and
+    texts that run on into the next column differ.
+    """
+    text = lambda c: F.col(c).cast("string")
+    whole = F.concat(*[F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns])
     bits = F.conv(F.substring(F.md5(whole.cast("binary")), 1, 12), 16, 10).cast("long")
-    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.sum(bits).alias("digest"))
+    return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), (F.sum(bits.cast("decimal(20,0)")) % F.lit(1 << 62)).cast("long").alias("digest"))
 
 
 def unchanged(df: DataFrame, columns: list[str], recorded: DataFrame) -> bool:
