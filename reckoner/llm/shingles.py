@@ -276,11 +276,9 @@ def _verified(texts: DataFrame, close: DataFrame, words: int, similarity: float)
     return both.filter(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
 
-def _crowds(rows: DataFrame, odd: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Candidates (a, b) of the crowded meetings' rows that `pairs` leaves in more than one component."""
-    from .simhash import components
-
-    roots = components(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).select(F.col("u").alias("node"), F.col("v").alias("root"))
+def _crowds(rows: DataFrame, odd: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Candidates (a, b) of the crowded meetings' rows that lie in more than one component. roots: (u, v), each node with its component's smallest."""
+    roots = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
     rows = cut(rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("here"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", F.ceil(F.col("here") / CELL).cast("int").alias("blocks"))
     split = rows.join(mixed, "key").join(odd.select("node", "odd"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -290,8 +288,10 @@ def _crowds(rows: DataFrame, odd: DataFrame, pairs: DataFrame, similarity: float
     return cells.repartition(tasks, "key", "lo", "hi").groupBy("key", "lo", "hi").applyInPandas(_cells(similarity), "a long, b long").distinct()
 
 
-def similar(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b), a < b: nodes of texts whose shingles have this similarity or more, and which connect just what all such pairs connect. texts: node, text as bytes."""
+def _searched(texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Similar pairs (a, b) of a first search; its components as (u, v), v the smallest; similar pairs that join those further."""
+    from .simhash import components
+
     common = common_values(texts, words, similarity)
     met = texts.mapInArrow(_firsts(words, similarity, common), "key long, node long, place int, n int").repartition("key")
     met = cut(met.sortWithinPartitions("key", F.xxhash64("key", "node")).mapInArrow(_meet(similarity), "a long, b long, key long, place int, n int"))
@@ -303,6 +303,19 @@ def similar(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFr
         .mapInArrow(_close(similarity), "a long, b long")
     )
     first = cut(_verified(texts, close, words, similarity))
+    roots = components(first.select(F.col("b").alias("u"), F.col("a").alias("v")))
     crowded = met.filter("key IS NOT NULL").select("key", F.col("a").alias("node"), "place", "n")
-    rest = cut(_crowds(crowded, odd, first, similarity))
-    return first.unionByName(_verified(texts, rest, words, similarity)).distinct()
+    rest = cut(_crowds(crowded, odd, roots, similarity))
+    return first, roots, _verified(texts, rest, words, similarity)
+
+
+def similar(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b), a < b: nodes of texts whose shingles have this similarity or more, and which connect just what all such pairs connect. texts: node, text as bytes."""
+    first, _, rest = _searched(texts, words, similarity)
+    return first.unionByName(rest).distinct()
+
+
+def connecting(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(a, b), a < b: nodes that connect just what the pairs of `similar` connect. What the first search connects comes as stars, one row a text, whose ends need not be similar."""
+    _, roots, rest = _searched(texts, words, similarity)
+    return roots.select(F.col("v").alias("a"), F.col("u").alias("b")).unionByName(rest).distinct()

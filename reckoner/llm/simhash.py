@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from .common import ROW, cut, keyed, table, utf8
-from .shingles import node, similar
+from .shingles import connecting, node
 
 SEED = 42
 THRESHOLD = 2
@@ -240,7 +240,7 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fps = cut(prints.groupBy("fp").agg(F.min(F.struct("id", *ROW)).alias("first"), F.count(F.lit(1)).alias("n")))
     edges = links(fps.select("fp"))
     if words:
-        found = similar(docs.select(node(text).alias("node"), text.alias("text")), words, similarity)
+        found = connecting(docs.select(node(text).alias("node"), text.alias("text")), words, similarity)
         of = prints.select("node", "fp").distinct()
         ends = found.join(of.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a").join(of.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
         edges = edges.unionByName(ends.filter("x <> y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))).distinct()

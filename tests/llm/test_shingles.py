@@ -50,6 +50,18 @@ def test_a_crowd_is_connected(spark):
     assert {r.component_id for r in simhash.near_duplicates(docs, words=5).collect()} == {0}
 
 
+def test_stars_connect_what_pairs_connect(spark):
+    """One row a text at most where pairs are many; the same parts."""
+    rows = spark.createDataFrame([(t.encode(),) for t in [*edited(), *edited(bases=1, copies=60, size=400, most=4)]], "text binary").select(S.node(F.col("text")).alias("node"), "text")
+
+    def parts(pairs):
+        found = simhash.components(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))).collect()
+        return {(r.u, r.v) for r in found}
+
+    pairs, stars = S.similar(rows).cache(), S.connecting(rows).cache()
+    assert parts(stars) == parts(pairs) and stars.count() < rows.count() < pairs.count()
+
+
 def test_no_link_of_a_crowd_is_lost(spark, monkeypatch):
     """Meetings beyond CROWD: chains of edits, where centres and neighbours by size don't reach all, and passages that all texts hold."""
     monkeypatch.setattr(S, "CROWD", 6)
