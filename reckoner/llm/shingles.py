@@ -14,7 +14,7 @@ larger meeting a text is at first paired with its NEXT successors, in an order t
 differs from meeting to meeting, which connects large groups of copies. Then the
 rest: meetings that still hold texts of more than one component are cut into cells
 of two blocks, and in each cell the pairs of different components are candidates as
-well. So the pairs found connect just what all pairs of that similarity connect;
+well, at the first such meeting they share, as far as the first LEADS of each tell. So the pairs found connect just what all pairs of that similarity connect;
 up to CROWD they are all of them.
 
 Defined cases: a text of fewer words is one shingle; null, empty or blank text has
@@ -37,6 +37,7 @@ from .common import cut
 SEED = 42
 CROWD, NEXT = 32, 4
 CELL = 1024  # rows of a block of a crowded meeting
+LEADS = 16  # meetings by which a pair is known to have met before
 HELD = 100_000
 MARKS = 1 << 24  # bits: a bound for what the driver holds
 COMMON, COMMON_BITS = 1 << 20, 1 << 25  # values the driver collects at most to put last, and bits they are broadcast as
@@ -231,8 +232,13 @@ def _folded(odd: np.ndarray, size: int) -> np.ndarray:
     return odd
 
 
+def _met_before(key: int, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether the rows' leads, padded to LEADS, share a meeting before this one; a pair's first meeting never has one."""
+    return ((one[:, :, None] == two[:, None, :]) & (one < key)[:, :, None]).any(axis=(1, 2))
+
+
 def _cells(similarity: float):
-    """Candidates among the rows of one cell: pairs of different components whose sketches leave the similarity possible."""
+    """Candidates among the rows of one cell: pairs of different components that have not met before and whose sketches leave the similarity possible."""
     far = (1 - similarity) / (1 + similarity)
 
     def run(key, rows):
@@ -241,6 +247,9 @@ def _cells(similarity: float):
         rows = rows.drop_duplicates("node")
         block, comp, names, place, n = (rows[c].to_numpy() for c in ("block", "comp", "node", "place", "n"))
         sizes = rows["odd"].map(len).to_numpy()
+        leads = np.full((len(rows), LEADS), np.iinfo(np.int64).max)
+        for at, own in enumerate(rows["leads"]):
+            leads[at, : len(own)] = own
         i, j = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
         found = [np.empty((2, 0), np.int64)]
         for x in np.unique(sizes[i]):
@@ -257,7 +266,11 @@ def _cells(similarity: float):
                     p, q = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
                     apart_by = np.bitwise_count(odd_one[np.searchsorted(one, p)] ^ odd_two[np.searchsorted(two, q)]).sum(axis=1)
                     near = apart_by <= far * (n[p].astype(np.int64) + n[q]) + 1e-9
-                    found.append(np.stack([names[p[near]], names[q[near]]]))
+                    p, q = p[near], q[near]
+                    for k in range(0, len(p), 1 << 14):
+                        c, d = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
+                        new = ~_met_before(key[0], leads[c], leads[d])
+                        found.append(np.stack([names[c[new]], names[d[new]]]))
         a, b = np.concatenate(found, axis=1)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
@@ -281,7 +294,9 @@ def _crowds(rows: DataFrame, odd: DataFrame, roots: DataFrame, similarity: float
     roots = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
     rows = cut(rows.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"))
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("here"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key", F.ceil(F.col("here") / CELL).cast("int").alias("blocks"))
-    split = rows.join(mixed, "key").join(odd.select("node", "odd"), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    split = cut(rows.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    leads = split.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LEADS).alias("leads"))
+    split = split.join(leads, "node").join(odd.select("node", "odd"), "node")
     dealt = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))

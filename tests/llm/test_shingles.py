@@ -62,10 +62,12 @@ def test_stars_connect_what_pairs_connect(spark):
     assert parts(stars) == parts(pairs) and stars.count() < rows.count() < pairs.count()
 
 
-def test_no_link_of_a_crowd_is_lost(spark, monkeypatch):
+@pytest.mark.parametrize("leads", [S.LEADS, 1])
+def test_no_link_of_a_crowd_is_lost(spark, monkeypatch, leads):
     """Meetings beyond CROWD: chains of edits, where centres and neighbours by size don't reach all, and passages that all texts hold."""
     monkeypatch.setattr(S, "CROWD", 6)
     monkeypatch.setattr(S, "CELL", 8)
+    monkeypatch.setattr(S, "LEADS", leads)
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(3000)]
     passage = list(rng.choice(words, 60))
