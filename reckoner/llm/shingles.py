@@ -14,8 +14,9 @@ larger meeting a text is at first paired with its NEXT successors, in an order t
 differs from meeting to meeting, which connects large groups of copies. Then the
 rest: meetings that still hold texts of more than one component are cut into cells
 of two blocks, and in each cell the pairs of different components are candidates as
-well, at the first such meeting they share, as far as the first LEADS of each tell. So the pairs found connect just what all pairs of that similarity connect;
-up to CROWD they are all of them.
+well, at the first such meeting they share, as far as the first LEADS of each tell.
+So the pairs found connect just what all pairs of that similarity connect; up to
+CROWD they are all of them.
 
 Defined cases: a text of fewer words is one shingle; null, empty or blank text has
 none and no links; equal texts are one text; no rows give no rows.
