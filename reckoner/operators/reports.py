@@ -86,18 +86,20 @@ def by_method(rows: DataFrame) -> DataFrame:
     return g.withColumn("cost_share", F.round(F.try_divide("cost", "gross"), 6))
 
 
-def on_days(credits: DataFrame, rows: DataFrame, payments: DataFrame, queue: DataFrame) -> DataFrame:
-    """What happened on each day: credits, payout runs, captures, and cases that name the day in their evidence."""
+def on_days(credits: DataFrame, rows: DataFrame, payments: DataFrame, queue: DataFrame | None = None) -> DataFrame:
+    """What happened on each day: credits, payout runs, captures, and, of a queue, cases that name the day in their evidence."""
     line = lambda df, day, what, n, amount: df.groupBy("merchant_id", F.col(day).alias("on_day")).agg(n.alias("n"), amount.alias("amount")).withColumn("what", F.lit(what))
     one, none = F.count(F.lit(1)), F.lit(None).cast("long")
-    named = queue.select("merchant_id", F.abs("amount").alias("amount"), F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", F.map_values("evidence")), F.lit(r"(\d{4}-\d{2}-\d{2})"), 1))).alias("on_day"))
-    named = named.withColumn("on_day", F.col("on_day").try_cast("date")).filter("on_day IS NOT NULL")
-    return (
+    happened = (
         line(credits, "value_date", "arrived", one, F.sum("amount"))
         .unionByName(line(rows.filter("settled_on IS NOT NULL AND settlement_id IS NOT NULL"), "settled_on", "payout runs", F.count_distinct("settlement_id"), none))
         .unionByName(line(payments, "captured_on", "captured", one, F.sum("amount")))
-        .unionByName(line(named, "on_day", "cases", one, F.sum("amount")))
     )
+    if queue is None:
+        return happened
+    named = queue.select("merchant_id", F.abs("amount").alias("amount"), F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", F.map_values("evidence")), F.lit(r"(\d{4}-\d{2}-\d{2})"), 1))).alias("on_day"))
+    named = named.withColumn("on_day", F.col("on_day").try_cast("date")).filter("on_day IS NOT NULL")
+    return happened.unionByName(line(named, "on_day", "cases", one, F.sum("amount")))
 
 
 def largest(credits: DataFrame, proofs: DataFrame, most: int = MOST_LINES) -> DataFrame:

@@ -70,7 +70,7 @@ def q10_by_method(spark, d):
 @query(f"SELECT merchant_id, value_date AS on_day, 'arrived' AS what, count(*) AS n, {total('amount')} AS amount FROM bank_credits GROUP BY ALL UNION ALL SELECT merchant_id, settled_on, 'payout runs', count(DISTINCT settlement_id), NULL FROM settlement_rows WHERE settled_on IS NOT NULL AND settlement_id IS NOT NULL GROUP BY merchant_id, settled_on UNION ALL SELECT merchant_id, captured_on, 'captured', count(*), {total('amount')} FROM payments GROUP BY merchant_id, captured_on")
 def q11_on_a_day(spark, d):
     ledger = load(spark, d)
-    return reports.on_days(ledger.credits, ledger.rows, ledger.payments, _queue(spark, d)).filter("what <> 'cases'")
+    return reports.on_days(ledger.credits, ledger.rows, ledger.payments)
 
 
 @query(f"SELECT merchant_id, on_day, 'cases' AS what, count(*) AS n, {total('abs(amount)')} AS amount FROM (SELECT merchant_id, amount, unnest(days) AS on_day FROM told) GROUP BY merchant_id, on_day")
