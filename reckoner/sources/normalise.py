@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.money import parse_money
 from ..functions.vocabulary import CARD_TYPE, ENTITY, METHOD, member_of, parse_bool, parse_temporal
+from .statements import once
 
 TEXT = lambda name: F.nullif(F.trim(F.col(name)), F.lit(""))
 
 
-def mapped(cells: DataFrame, mapping: DataFrame, fields: list[str]) -> DataFrame:
-    """One row for each file and line with the mapped fields as text; an unmapped field is null."""
+def mapped(cells: DataFrame, mapping: DataFrame | dict[str, str], fields: list[str]) -> DataFrame:
+    """One row for each file and line with the mapped fields as text; an unmapped field is null.
+
+    mapping: file, col, field; or, of a table whose columns are named, field and column.
+    """
+    if isinstance(mapping, dict):
+        return cells.select("file", "line", once(*[(F.col(f"`{mapping[f]}`") if f in mapping else F.lit(None).cast("string")).alias(f) for f in fields]))
     named = cells.join(mapping.select("file", "col", "field"), ["file", "col"])
     return named.groupBy("file", "line").pivot("field", fields).agg(F.first("value"))
 
