@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import ISO, parse_temporal
@@ -13,7 +13,7 @@ from ..sources import normalise as N
 from ..sources.fields import FIELDS, field_rows, field_table
 from ..sources.ledger import Ledger, given
 from ..sources.session import cut
-from ..sources.statements import read_delimited
+from ..sources.statements import named_cells, once, read_rows
 
 NEEDED = ("settlement_rows", "bank_credits")  # kinds without which there is nothing to reconcile
 
@@ -28,7 +28,17 @@ class Imported:
     limitations: DataFrame
 
 
-def plan_of(cells: DataFrame, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def _seen(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """P.seen_in of rows and their headers: counted by place, named afterwards."""
+    placed = rows.select("file", "line", F.posexplode("values").alias("col", "value"))
+    seen = P.seen_in(placed).withColumnRenamed("col", "place")
+    names = heads.select("file", F.posexplode("names").alias("place", "col"))
+    named = seen.join(names, ["file", "place"])
+    sums = [c for c in seen.columns if c not in ("file", "place", "value", "line")]
+    return named.groupBy("file", "col", "value").agg(F.min("line").alias("line"), *[F.sum(c).alias(c) for c in sums])
+
+
+def plan_of(rows: DataFrame, heads: DataFrame, answers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The plan, and each field's state (found, open, absent) for each file of a known kind.
 
     answers: file, kind, field, col where a person has said so; they come before what the
@@ -36,13 +46,14 @@ def plan_of(cells: DataFrame, answers: DataFrame | None = None) -> tuple[DataFra
     left open. A date's pattern is the one that reads its column; where several do and
     disagree about a value, there is none.
     """
-    fields = F.broadcast(field_table(cells.sparkSession))
-    dated = cut(P.date_patterns(cells))
-    fitting = cut(P.fits(P.profile(cells), dated))
+    fields = F.broadcast(field_table(rows.sparkSession))
+    seen = cut(_seen(rows, heads))
+    dated = cut(P.dates_in(seen))
+    fitting = cut(P.fitting(named_cells(rows, heads), seen, dated))
     placed = P.identify(P.rank_kinds(fitting, fields)).select("file", "kind")
     if answers is not None:
         told = answers.select("file", F.col("kind").alias("told")).distinct()
-        placed = cells.select("file").distinct().join(placed, "file", "left").join(told, "file", "left").select("file", F.coalesce("told", "kind").alias("kind"))
+        placed = seen.select("file").distinct().join(placed, "file", "left").join(told, "file", "left").select("file", F.coalesce("told", "kind").alias("kind"))
     states = cut(P.columns_of_fields(fitting, fields, placed))
     if answers is not None:
         said = answers.select("file", "kind", "field", F.col("col").alias("said"))
@@ -52,21 +63,27 @@ def plan_of(cells: DataFrame, answers: DataFrame | None = None) -> tuple[DataFra
         taken = states.filter("state = 'found'").groupBy("file", "col").agg(F.lit(0).alias("answered"), F.count(F.lit(1)).alias("claims"))
     twice = taken.filter("claims > 1 AND answered < claims").select("file", "col", F.lit(True).alias("twice"))
     states = cut(states.join(twice, ["file", "col"], "left").select("file", "kind", "field", "required", "col", F.when(F.col("twice"), "open").otherwise(F.col("state")).alias("state")))
-    times = F.broadcast(cells.sparkSession.createDataFrame([(k, f) for k, of in FIELDS.items() for f, value, _ in of if value == "temporal"], "kind string, field string")).withColumn("temporal", F.lit(True))
+    times = F.broadcast(rows.sparkSession.createDataFrame([(k, f) for k, of in FIELDS.items() for f, value, _ in of if value == "temporal"], "kind string, field string")).withColumn("temporal", F.lit(True))
     pattern = F.when(F.col("conflict").isNull(), F.get("patterns", F.lit(0)))
     plan = states.filter("state = 'found'").join(times, ["kind", "field"], "left").join(dated, ["file", "col"], "left")
     plan = cut(plan.select("file", "kind", "field", "col", F.when(F.col("temporal"), pattern).alias("pattern"), F.coalesce("temporal", F.lit(False)).alias("temporal")))
     return plan, states
 
 
-def _dates_read(cells: DataFrame, plan: DataFrame) -> DataFrame:
-    """Cells of the plan's columns; a date is read under its own column's pattern and written in ISO form."""
-    used = [r["pattern"] for r in plan.select("pattern").distinct().collect() if r["pattern"]]  # of the fixed list of patterns
-    value = F.col("value")
+def layouts(plan: DataFrame, heads: DataFrame) -> DataFrame:
+    """One row for each file and kind of the plan: where each field stands in a row (place, pattern, temporal), null if nowhere."""
+    placed = heads.select("file", F.posexplode("names").alias("place", "col"))
+    found = plan.join(placed, ["file", "col"])
+    names = list(dict.fromkeys(f for of in FIELDS.values() for f, *_ in of))
+    return found.groupBy("file", "kind").agg(*[F.min(F.when(F.col("field") == f, F.struct("place", "pattern", "temporal"))).alias(f) for f in names])
+
+
+def _dated(value: Column, at: Column, used: list[str]) -> Column:
+    """A date read under its column's pattern and written in ISO form; empty where there is none."""
+    read = F.lit("")
     for p in used:
-        value = F.when(F.col("pattern") == p, F.coalesce(parse_temporal(F.col("value"), p).cast("date").cast("string"), F.lit(""))).otherwise(value)
-    value = F.when(F.col("temporal") & F.col("pattern").isNull(), F.lit("")).otherwise(value)
-    return cells.join(plan, ["file", "col"]).select("file", "line", "kind", "field", "col", value.alias("value"))
+        read = F.when(at["pattern"] == p, F.coalesce(parse_temporal(value, p).cast("date").cast("string"), F.lit(""))).otherwise(read)
+    return F.when(at["temporal"], read).otherwise(value)
 
 
 def import_folder(lines: DataFrame, files: DataFrame, answers: DataFrame | None = None, delimiter: str = ",") -> Imported:
@@ -75,13 +92,19 @@ def import_folder(lines: DataFrame, files: DataFrame, answers: DataFrame | None
     Files of one kind and merchant are stacked, bank credits numbered over them. A merchant
     that lacks a needed kind, or a required field of a file, is listed and left out.
     """
-    cells = cut(read_delimited(lines, delimiter))
-    plan, states = plan_of(cells, answers)
-    read = cut(_dates_read(cells, plan))
+    rows, heads = read_rows(lines, delimiter)
+    rows = cut(rows)
+    plan, states = plan_of(rows, heads, answers)
+    layout = cut(layouts(plan, heads))
+    used = [r["pattern"] for r in plan.select("pattern").distinct().collect() if r["pattern"]]  # of the fixed list of patterns
     owner = files.select("file", "merchant_id")
 
     def wide(kind: str) -> DataFrame:
-        return N.mapped(read.filter(F.col("kind") == kind).drop("field"), plan.filter(F.col("kind") == kind), [f for f, *_ in FIELDS[kind]]).join(owner, "file")
+        fields = [(f, value == "temporal") for f, value, _ in FIELDS[kind]]
+        own = layout.filter(F.col("kind") == kind).select("file", *[F.col(f).alias(f"_{f}") for f, _ in fields]).join(owner, "file")
+        at = {f: F.col(f"_{f}") for f, _ in fields}
+        found = {f: F.get("values", at[f]["place"]) for f, _ in fields}
+        return rows.join(own, "file").select("file", "line", "merchant_id", once(*[(_dated(found[f], at[f], used) if temporal else found[f]).alias(f) for f, temporal in fields]))
 
     tables = {
         "orders": N.orders(wide("orders"), ISO),
@@ -95,12 +118,12 @@ def import_folder(lines: DataFrame, files: DataFrame, answers: DataFrame | None
         part = df.groupBy("merchant_id").agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count("reason").alias("dropped")).select("merchant_id", F.lit(kind).alias("kind"), "kept", "dropped")
         counts = part if counts is None else counts.unionByName(part)
 
-    kinds = cells.sparkSession.createDataFrame([(k, k in NEEDED) for k in sorted({k for k, *_ in field_rows()})], "kind string, blocking boolean")
+    kinds = rows.sparkSession.createDataFrame([(k, k in NEEDED) for k in sorted({k for k, *_ in field_rows()})], "kind string, blocking boolean")
     there = plan.select("file", "kind").distinct().join(owner, "file").select("merchant_id", "kind").distinct()
     missing = owner.select("merchant_id").distinct().crossJoin(F.broadcast(kinds)).join(there, ["merchant_id", "kind"], "left_anti")  # four kinds
     lacking = states.filter("state <> 'found'").join(owner, "file").select("merchant_id", "file", "kind", "field", "state", F.col("required").alias("blocking"))
     undated = plan.filter("temporal AND pattern IS NULL").join(owner, "file").select("merchant_id", "file", "kind", "field", F.lit("no certain date pattern").alias("state"), F.lit(False).alias("blocking"))
-    unread = owner.join(cells.select("file").distinct(), "file", "left_anti").select("merchant_id", "file", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("field"), F.lit("unreadable file").alias("state"), F.lit(False).alias("blocking"))
+    unread = owner.join(rows.select("file").distinct(), "file", "left_anti").select("merchant_id", "file", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("field"), F.lit("unreadable file").alias("state"), F.lit(False).alias("blocking"))
     none = F.lit(None).cast("string")
     limits = missing.select("merchant_id", none.alias("file"), "kind", none.alias("field"), F.lit("missing kind").alias("state"), "blocking")
     limits = cut(limits.unionByName(lacking).unionByName(undated).unionByName(unread))
