@@ -8,6 +8,12 @@ from reckoner.plans.registry import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 
 
+def test_ablation_tries_no_rung_again(spark, monkeypatch):
+    R.run_of(spark, FOLDER)
+    monkeypatch.setattr(R, "cascade_steps", lambda *a, **k: pytest.fail("the rungs were tried again"))
+    assert QUERIES["e6_ablation"](spark, FOLDER).count() == len(R.RUNGS)
+
+
 @pytest.mark.parametrize("name", ["e5_rates", "e7_pooled"])
 def test_grading_makes_no_queue(spark, monkeypatch, name):
     monkeypatch.setattr(triage, "absences", lambda run: pytest.fail("payouts and payments were named"))
