@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+from pyspark.sql import functions as F
 from reckoner.operators import profiling as P
 from reckoner.sources.session import cut
 
@@ -11,9 +13,26 @@ def _broadcast(df):
     return re.findall(r"BroadcastHashJoin \[[^\]]*\]", df._jdf.queryExecution().executedPlan().toString())
 
 
-def test_the_index_of_runs_is_not_broadcast(spark):
-    cells = spark.createDataFrame([("f", i, "c", f"REFERENCE_{i:02d}") for i in range(20)], "file string, line long, col string, value string")
-    narrations = cut(spark.createDataFrame([(f"NEFT CR REFERENCE_{i:02d} X",) for i in range(0, 20, 2)], "text string"))
-    found = P.quoted_values(cells, narrations)
+@pytest.fixture(scope="module")
+def cells(spark):
+    rows = [("f", i, c, v) for i in range(20) for c, v in (("ref", f"REFERENCE_{i:02d}"), ("other", f"unheard of {i}"), ("none", None))]
+    return cut(spark.createDataFrame(rows, "file string, line long, col string, value string"))
+
+
+def _narrations(spark, every):
+    return cut(spark.createDataFrame([(f"NEFT CR REFERENCE_{i:02d} X",) for i in range(0, 20, every)] + [(None,)], "text string"))
+
+
+def test_the_index_of_runs_is_not_broadcast(spark, cells):
+    found = P.quoted_values(cells.filter("col = 'ref'").withColumn("col", F.lit("c")), _narrations(spark, 2))
     assert not [x for x in _broadcast(found) if "gram" in x]
     assert [tuple(r) for r in found.collect()] == [("f", "c", 20, 10)]
+
+
+def test_columns_that_a_bank_may_echo_are_found_without_a_broadcast(spark, cells, monkeypatch):
+    made = []
+    monkeypatch.setattr(P, "cut", lambda df: made.append(df) or cut(df))
+    found = P.quoted_columns(cells, _narrations(spark, 1))
+    assert "gram" in made[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for df in (*made, found) for x in _broadcast(df) if "gram" in x]
+    assert [tuple(r) for r in found.collect()] == [("f", "ref", 20, 20)]
